@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokens, warc
 
 QUERIES = {
+    "op1_planes": tokens.query,
+    "op9_warc": warc.query,
     "op10_pareto_mix": mixing.query,
 }
 
 ORACLE_SQL = {
+    "op9_warc": warc.ORACLE_SQL,
     "op10_pareto_mix": mixing.ORACLE_SQL,
 }
