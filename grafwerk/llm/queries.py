@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, tokens, warc
+from . import mixing, quality_rules, secrets, tokens, warc
 
 QUERIES = {
     "op1_planes": tokens.query,
+    "op4_secrets": secrets.query,
     "op5_quality_rules": quality_rules.query,
     "op9_warc": warc.query,
     "op10_pareto_mix": mixing.query,
