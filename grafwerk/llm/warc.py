@@ -15,9 +15,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import filesystem, fresh_path, written
 
@@ -31,7 +33,7 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def with_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), payload_bytes, payload_digest, refers_to.
+    """page_id, url, body (the payload, compressed by zstandard for the shuffle; null: empty), payload_bytes, payload_digest, refers_to.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is the response and
     the others revisit it. Repeated rows with that same smallest page_id are all responses; a null page_id never is the
@@ -41,8 +43,17 @@ def with_records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
     first = rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(first, F.col("payload_digest") == F.col("_digest"), "left")
-    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "html"] + [T.StructField("body", T.BinaryType())])
+    joined = rows.mapInArrow(_compressed, schema).join(first, F.col("payload_digest") == F.col("_digest"), "left")
+    return joined.select("page_id", "url", "body", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        body = [zstd.compress(x.encode()) for x in batch.column("html").to_pylist()]
+        rest = [c for c in batch.schema.names if c != "html"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(body, pa.binary())], names=[*rest, "body"])
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -72,10 +83,10 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, sink, size, path, k = [], None, 0, "", 0
+        done, sink, size, path, k, zstd = [], None, 0, "", 0, zstandard.ZstdDecompressor()
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to"))):
-                data = record(page_id, url, html.encode(), digest, refers_to)
+            for page_id, url, body, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "body", "payload_digest", "refers_to"))):
+                data = record(page_id, url, zstd.decompress(body), digest, refers_to)
                 if sink is not None and size + len(data) > file_bytes:
                     sink.close()
                     done.append((path, size))
@@ -92,7 +103,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
             done.append((path, size))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
-    return written(records.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(write, "path string, size long"), "warc-manifest")
+    return written(records.select("page_id", "url", "body", "payload_digest", "refers_to").mapInArrow(write, "path string, size long"), "warc-manifest")
 
 
 def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
