@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, tokens, warc
+from . import mixing, quality_rules, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_planes": tokens.query,
     "op4_secrets": secrets.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_pareto_mix": mixing.query,
 }
