@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, tokens, toxicity, warc
+from . import mixing, near_dups, quality_rules, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_planes": tokens.query,
+    "op3_near_dups": near_dups.query,
     "op4_secrets": secrets.query,
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_near_dups": near_dups.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_pareto_mix": mixing.ORACLE_SQL,
 }
