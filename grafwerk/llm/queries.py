@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, quality_rules, secrets, tokens, toxicity, warc
+from . import decontaminate, mixing, near_dups, perplexity, quality_rules, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_planes": tokens.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_near_dups": near_dups.query,
     "op4_secrets": secrets.query,
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
+    "op7_kneser_ney": perplexity.query,
     "op9_warc": warc.query,
     "op10_pareto_mix": mixing.query,
 }
