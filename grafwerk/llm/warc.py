@@ -28,22 +28,27 @@ FILE_BYTES = 1 << 30
 SPLIT_BYTES = 16 << 20
 HEAD_BYTES = 1 << 16
 LEAST_REVISIT = 100
+MOST_BROADCAST = 300_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def with_records(pages: DataFrame) -> DataFrame:
+def with_records(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, body (the payload, compressed by zstandard for the shuffle; null: empty), payload_bytes, payload_digest, refers_to.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is the response and
     the others revisit it. Repeated rows with that same smallest page_id are all responses; a null page_id never is the
     smallest unless all are null, when all are responses. Extra columns are dropped. The only group that is counted
-    by digest is pre-aggregated; digests that occur once aren't joined at all.
+    by digest is pre-aggregated. The digests that recur are broadcast if they are most_broadcast at most (about 100 bytes
+    each), else joined by a shuffle of compressed payloads.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
     first = rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    first = written(first, "warc-first")
     schema = T.StructType([f for f in rows.schema.fields if f.name != "html"] + [T.StructField("body", T.BinaryType())])
+    if first.count() <= most_broadcast:
+        first = F.broadcast(first)
     joined = rows.mapInArrow(_compressed, schema).join(first, F.col("payload_digest") == F.col("_digest"), "left")
     return joined.select("page_id", "url", "body", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
