@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dups, perplexity, quality_rules, secrets, tokens, toxicity, warc
+from . import decontaminate, mixing, near_dups, perplexity, pii, quality_rules, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_planes": tokens.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
     "op7_kneser_ney": perplexity.query,
+    "op8_pii": pii.query,
     "op9_warc": warc.query,
     "op10_pareto_mix": mixing.query,
 }
