@@ -1,14 +1,18 @@
-"""Makes this package importable in the Python workers of a session."""
+"""What a session's cluster needs: this package in its Python workers, and tables that outlive executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -24,3 +28,20 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one of our own only where it is unset."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="grafwerk-")
+        atexit.register(shutil.rmtree, _own["dir"], True)
+    return "file://" + _own["dir"]
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: ends its lineage, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
