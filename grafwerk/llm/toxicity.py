@@ -31,7 +31,7 @@ STEM = 5
 SPAN = 4
 LABELLED = 50_000
 SEEDS = 256  # of each polarity, at most
-NODES = 4096  # the lexicon's capacity
+NODES = 1536  # the graph's capacity, seeds included
 LEAST_Z = 5.0
 LEAST_PAIRS = 3
 SHIFT = 1.0  # natural log: pairs three times as often as by chance
@@ -100,7 +100,8 @@ def held_out(doc_id: int | None) -> bool:
 def training_labels(labels: DataFrame, bound: int = LABELLED) -> dict[int, int]:
     """At most bound labelled doc_ids of the training share; of several labels of one doc_id the largest."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return {r.doc_id: r.toxic for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()}
+    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).toArrow()
+    return dict(zip(some.column("doc_id").to_pylist(), some.column("toxic").to_pylist()))
 
 
 def _label_arrays(labels: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +157,17 @@ def pair_counts(documents: DataFrame, one: np.ndarray, other: np.ndarray | None)
     """a, b, n: occurrences of a term b (of `other`, or any) within SPAN words of a term a of `one` (sorted hashes)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, found = Counts(1), {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b, n = (np.concatenate([h[k] for h in held]) for k in range(3)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            _, first, inverse = np.unique(mix(a) + b, return_index=True, return_inverse=True)
+            return a[first], b[first], np.bincount(inverse, n, len(first)).astype(np.int64)
+
         for batch in batches:
             for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
                 h, row = stems(raw, off)
                 at = np.flatnonzero(_within(h, one))
-                a_parts, b_parts = [], []
                 for step in range(1, SPAN + 1):
                     for move in (step, -step):
                         k = at[(at + move >= 0) & (at + move < len(h))]
@@ -170,16 +176,10 @@ def pair_counts(documents: DataFrame, one: np.ndarray, other: np.ndarray | None)
                         if other is not None:
                             ok = _within(b, other)
                             k, b = k[ok], b[ok]
-                        a_parts.append(h[k])
-                        b_parts.append(b)
-                a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-                key = mix(a) + b
-                u, first, n = np.unique(key, return_index=True, return_counts=True)
-                names.add(u, n[:, None].astype(np.int64))
-                found.update(zip(u.tolist(), zip(a[first].tolist(), b[first].tolist())))
-        u, n = names.merge()
-        ab = np.array([found[k] for k in u.tolist()], np.uint64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(ab[:, 1]).view(np.int64)), pa.array(n[:, 0])], names=["a", "b", "n"])
+                        held.append((h[k], b, np.ones(len(b), np.int64)))
+                held = [merged()]
+        a, b, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
 
     return _texts(documents).mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -223,9 +223,9 @@ def induce(documents: DataFrame, labels: dict[int, int]) -> tuple[np.ndarray, np
     stats = {r.term: r for r in n_of.join(F.broadcast(documents.sparkSession.createDataFrame([(int(t),) for t in nodes.view(np.int64)], "term long")), "term").collect()}
     info = [stats[int(t)] for t in nodes.view(np.int64)]
     n = np.array([r.n for r in info], float)
-    edges = pair_counts(documents, nodes, nodes).filter(F.col("n") >= LEAST_PAIRS).toPandas()  # at most NODES squared, in fact far fewer
-    a, b = (np.searchsorted(nodes, edges[c].to_numpy(np.int64).view(np.uint64)) for c in ("a", "b"))
-    pmi = np.log(edges["n"].to_numpy(float) * total / (2 * SPAN * n[a] * n[b]))
+    edges = pair_counts(documents, nodes, nodes).filter(F.col("n") >= LEAST_PAIRS).toArrow()  # at most NODES squared rows
+    a, b = (np.searchsorted(nodes, edges.column(c).to_numpy().view(np.uint64)) for c in ("a", "b"))
+    pmi = np.log(edges.column("n").to_numpy().astype(float) * total / (2 * SPAN * n[a] * n[b]))
     on = (pmi > 0) & (a != b)
     a, b, w = a[on], b[on], pmi[on]
     degree = np.bincount(a, w, len(nodes))
@@ -305,8 +305,9 @@ def score(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Dat
     table = written(measured(documents, terms, weights), "toxicity-features")
     share = sum(train.values()) / max(1, len(train))
     if len(terms):
-        ids = documents.sparkSession.createDataFrame(list(train.items()), "doc_id long, toxic int")
-        rows = table.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # at most bound
+        ids, toxic = _label_arrays(train)
+        ids = documents.sparkSession.createDataFrame(pa.table({"doc_id": ids, "toxic": toxic.astype(np.int32)}))
+        rows = table.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pandas()  # at most bound
         c = fit_logistic(_expanded(rows[FEATURES].to_numpy(float)), rows["toxic"].to_numpy(float))
     else:
         c = None
