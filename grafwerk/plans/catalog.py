@@ -19,7 +19,7 @@ def _query(name: str, sql: str | None, graph: bool = True, recursive: bool = Fal
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             lead = f"WITH {'RECURSIVE ' if recursive else ''}{SQL}"
-            ORACLE_SQL[name] = sql if not graph else lead + (", " + sql if " AS (" in sql.split("SELECT")[0] else sql)
+            ORACLE_SQL[name] = sql if not graph else lead + (", " + sql if " AS (" in sql.split("SELECT")[0] or " AS MATERIALIZED (" in sql.split("SELECT")[0] else sql)
         return f
 
     return add
