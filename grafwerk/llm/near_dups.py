@@ -5,12 +5,12 @@ class at once (a hash of the whole set); everything below is between classes. Tw
 coordinates: sigma scatters a shingle, pi is applied to sigma's value shifted circularly by k steps, and coordinate k is
 the least pi. Bands of ROWS coordinates make buckets.
 
-Links inside buckets, without all pairs and without dropping any: in each round a bucket has a centre, its other members
-are confirmed against the centre on full sets, and the centre leaves the bucket, tested against every member that isn't
-in its component yet. Buckets whose members are all in one component are done; one bucket's smallest component gives the
-next centre. Buckets that still hold several components after ROUNDS rounds (many texts that share a passage) are divided
-by a second band, then a third: members that are linked agree in several bands. A round is linear in the rows of the
-buckets left.
+Links inside buckets, without all pairs and without dropping any: in each round a bucket has a centre (later CENTRES of
+them, from the smallest components), its other members are confirmed against the centres on full sets, and the centres
+leave the bucket, tested against every member that isn't in their component yet. Buckets whose members are all in one
+component are done. Buckets that still hold several components after ROUNDS such rounds (many texts that share a passage)
+are divided by a second band, then a third: members that are linked agree in several bands. A round is linear in the rows
+of the buckets left.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ SHINGLE = 5
 PERCENT = 70
 BANDS = 40
 ROWS = 4
-ROUNDS = 6
+ROUNDS = 2  # with CENTRES centres each, after the first, which has one
+CENTRES = 16
 LEVELS = 8
 BLOCK = 1 << 15
 MOST_BROADCAST = 1_000_000
@@ -145,7 +146,7 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, end, raw, off in text_chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([s.tobytes() for s in sets_of(raw, off)], pa.binary())], names=["doc_id", "set"])
 
-    return rows.mapInArrow(run, "doc_id long, set binary")
+    return rows.mapInArrow(run, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,19 +177,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of undirected edges (u, v), by alternating large and small stars."""
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    state = None
     while True:
+        # done when every node has one neighbour below it, which has none
+        forked = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        chained = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
+        if forked.union(chained).isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = written(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    nodes = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
@@ -203,8 +204,8 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of documents.
 
     A text without words (null, empty or white space) has an empty set and no links. Rows with one doc_id and equal texts
-    are one document here and all get its row; with one doc_id and other texts, they are linked as their texts are. A null
-    doc_id has no links, component_id is null and it is kept. Other columns are ignored; an empty table gives an empty result.
+    are one document here and all get its row; with one doc_id and other texts, all their links are its links, and one of
+    the texts stands for it where links are confirmed. A null doc_id has no links, component_id is null and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
     rows = written(signed(documents), "dup-signatures")
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
@@ -220,31 +221,33 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets: DataFrame | None = None
     left, level, turn = bucket, 1, 0
     while True:
-        placed = _in_components(left, component)
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
-        centre = parts.groupBy("key").agg(F.min(F.struct("n", "doc", "component")).alias("c"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("c.doc").alias("centre"), F.col("c.component").alias("of"))
-        left = written(placed.join(centre, "key").select("key", "last", "doc", "component", "centre", "of"), "dup-left")
+        placed = _in_components(left, component).withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 if turn == 0 and level == 1 else CENTRES)))
+        several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        left = written(placed.join(several, "key"), "dup-left")
         if left.isEmpty():
             break
         if sets is None:
-            sets = written(_full_sets(documents, left.select(F.col("doc").alias("doc_id")).distinct()), "dup-sets").dropDuplicates(["doc_id"])
+            sets = written(_full_sets(documents, left.select(F.col("doc").alias("doc_id")).distinct()), "dup-sets")
         turn += 1
-        if turn > ROUNDS and level < LEVELS:
+        if turn > ROUNDS + (level == 1) and level < LEVELS:
             # by bands in ascending order: members that share bands a < b < c meet in the bucket of a, then of a and b, and so on
             finer = left.select("key", "last", "doc").join(bands, "doc").select("key", "last", "doc", F.explode("bands").alias("band")).filter("band > last").select(F.xxhash64("key", "band").alias("key"), F.col("band").alias("last"), "doc")
             several = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
             left = written(finer.join(several, "key"), "dup-finer")
             level, turn = level + 1, 0
             continue
-        pairs = left.filter("component <> of").select(F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
+        parts = left.groupBy("key", "slot", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
+        centres = written(parts.groupBy("key", "slot").agg(F.min(F.struct("n", "doc", "component")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.component").alias("of")), "dup-centres")
+        pairs = left.join(centres, "key").filter("component <> of").select(F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "dup-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = written(_confirmed(pairs, sets, percent), "dup-links")
-        links = found if links is None else links.union(found)
-        component = written(components(links), "dup-components")
-        left = left.filter("doc <> centre").select("key", "last", "doc")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            component = written(components(links), "dup-components")
+        left = left.join(centres.select("key", F.col("centre").alias("doc")), ["key", "doc"], "left_anti").select("key", "last", "doc")
     named = member.select("doc_id", "rep")
     if component is not None:
         named = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
