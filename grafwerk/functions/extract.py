@@ -267,7 +267,8 @@ _PATTERNS: dict[str, list[tuple[str, str]]] = {
 _FAMILY = {"java": ["curly", "typed"], "csharp": ["curly", "typed"], "c": ["curly", "typed"], "cpp": ["curly", "typed"], "cuda": ["curly", "typed"], "dart": ["curly", "typed"], "typescript": ["curly", "arrow"], "tsx": ["curly", "arrow"], "javascript": ["curly", "arrow"], "vue": ["curly", "arrow"], "svelte": ["curly", "arrow"], "ruby": ["ends"], "lua": ["ends"], "luau": ["ends"], "elixir": ["ends"], "clojure": ["lisp"], "sql": ["sql"], "bash": ["shell"], "go": ["curly"]}
 _IMPORT = [r"^\s*import\s+(?:static\s+)?(?:.*?\bfrom\s+)?['\"]?([\w./@*-]+)['\"]?", r"^\s*(?:using|use|require_once|require|include|require_relative)\s+['\"(]*([\w.:/\\-]+)", r"^\s*#\s*include\s*[<\"]([^>\"]+)", r"\brequire\s*\(?\s*['\"]([^'\"]+)['\"]", r"^\s*(?:alias|source)\s+([\w./-]+)", r"^\s*\"([\w./-]+)\"\s*$"]
 _INHERITS = [r"\bclass\s+(\w+)(?:\s*<[^>]*>)?\s*(?:extends|:|<)\s*(?:public\s+|private\s+)?([\w.:]+)", r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+(\w+)"]
-_NOT_CALLS = frozenset("if for while switch return catch function def fn func fun sizeof typeof new class when match elif elsif unless until and or not in is do else try throw await yield super this self init case guard defer go select with using lock foreach print".split())
+_NOT_CALLS = frozenset("if for while switch return catch function def fn func fun sizeof typeof new class when match elif elsif unless until and or not in is do else try throw await yield super this self init case guard defer go select with using lock foreach print ns def defn defn- defmacro defmulti defmethod defonce defprotocol defrecord deftype".split())
+_CONTROL = frozenset("if for while switch return catch else do try with match when until unless elif elsif new await".split())
 _METHOD = re.compile(rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set|override|readonly|final|abstract|internal|virtual)\s+)*({_NAME})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::\s*[^;{{}}=]+)?\{{", re.M)
 
 
@@ -307,12 +308,12 @@ def _structural(text: str, found: Found, language: str) -> None:
         for kind, pattern in _PATTERNS[f]:
             for m in re.finditer(pattern, code, re.M):
                 name = m[1].replace("::", ".").replace(":", ".")
-                if name in _NOT_CALLS:
+                if name in _CONTROL:
                     continue
                 defined.setdefault(m.start(1), (kind, name, m.start(), _block_end(code, m.end(), f in ("ends",)) if f != "lisp" else _paren_end(code, m.start())))
     if "curly" in family or "arrow" in family:
         for m in _METHOD.finditer(code):
-            if m[1] not in _NOT_CALLS:
+            if m[1] not in _CONTROL:
                 defined.setdefault(m.start(1), ("method", m[1], m.start(1), _block_end(code, m.end() - 1, False)))
     spans = sorted((at, end, kind, name) for kind, name, at, end in defined.values())
     stack: list[tuple[int, str, str]] = []

@@ -65,7 +65,7 @@ def reaches(edges: DataFrame, seeds: DataFrame, sink: str, via: str | None = Non
     A chain is the path of first visits (of equal ones, the smallest parent); for a function with several matching calls the
     first by line counts. via_present says whether any function of the chain calls a name that matches via.
     """
-    e = edges.filter(F.col("kind") == "calls")
+    e = edges.filter(F.col("kind") == "calls").select("src", "dst", "dst_name", "line", "conf")
     frontier = seeds.select("id").distinct().select("id", F.array("id").alias("chain"), F.lit(2).alias("conf"))
     walked = frontier
     seen = frontier.select("id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,17 +99,52 @@ def ignore_rules(root: str, extra: list[str] | None = None) -> list[str]:
     return rules + (extra or [])
 
 
+def _filesystem(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
 def scan(spark: SparkSession, root: str, scopes: list[str] | None = None, excludes: list[str] | None = None, contents: bool = True) -> DataFrame:
     """path, language, size, mtime_ns, and content where asked: the files of a tree that have a language and may be indexed.
 
-    Without contents only the listing is read. Filters on the path come before contents are.
+    Tasks list the folders beneath the root's, and read only what is left after all filters. (Spark's own file sources pass
+    over names that begin with _ or a dot, among them package initialisers.)
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(base) + 2})")
-    rows = files.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), *([F.col("content")] if contents else []))
-    kept = rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() & (F.col("size") <= MAX_FILE_BYTES) & in_scope(F.col("path"), scopes or []) & ~ignored(F.col("path"), ignore_rules(root, excludes)))
-    return kept
+    from pyarrow import fs
+
+    system, base = _filesystem(root.rstrip("/"))
+    top = system.get_file_info(fs.FileSelector(base))
+    folders = sorted(f.path for f in top if f.type == fs.FileType.Directory)
+    flat = [(f.path, f.size, f.mtime_ns) for f in top if f.type == fs.FileType.File]
+    where = root.rstrip("/")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, _ = _filesystem(where)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [f for f in on.get_file_info(fs.FileSelector(folder, recursive=True)) if f.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in found], pa.string()), pa.array([f.size for f in found], pa.int64()), pa.array([f.mtime_ns for f in found], pa.int64())], names=["full", "size", "mtime_ns"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, _ = _filesystem(where)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                some = batch.slice(k, 64)
+                data = []
+                for path in some.column("full").to_pylist():
+                    with on.open_input_file(path) as f:
+                        data.append(f.read())
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ("path", "size", "mtime_ns", "language")], pa.array(data, pa.binary())], names=["path", "size", "mtime_ns", "language", "content"])
+
+    schema = "full string, size long, mtime_ns long"
+    files = spark.createDataFrame(flat, schema)
+    if folders:
+        files = files.union(spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 256)).mapInArrow(walk, schema))
+    rel = F.substring("full", len(base) + 2, 1 << 20)
+    rows = files.select("full", rel.alias("path"), "size", "mtime_ns").withColumn("language", language_of(F.col("path")))
+    kept = rows.filter(F.col("language").isNotNull() & (F.col("size") <= MAX_FILE_BYTES) & in_scope(F.col("path"), scopes or []) & ~ignored(F.col("path"), ignore_rules(root, excludes)))
+    return kept.mapInArrow(read, "path string, size long, mtime_ns long, language string, content binary") if contents else kept.select("path", "size", "mtime_ns", "language")
 
 
 def hashed(files: DataFrame) -> DataFrame:
