@@ -374,18 +374,15 @@ def test_kneser_ney_sums_to_one_and_equals_a_direct_computation(spark):
     model = {np.uint64(r.key & (1 << 64) - 1): (r.logp, r.backoff) for r in perplexity.train(spark.createDataFrame([("en", t) for t in text], "lang string, text string")).collect()}
     alphabet = sorted(set("".join(text)))
 
-    def p(history, c):
-        for m in range(perplexity.ORDER, 0, -1):
-            (key,) = perplexity.keys_of_strings([history[len(history) - m + 1 :] + c if m > 1 else c], ["en"])
-            if key in model and model[key][0] is not None:
-                return model[key][0]
-            if m > 1:
-                (ctx,) = perplexity.keys_of_strings([history[len(history) - m + 1 :]], ["en"])
-                back = model.get(ctx, (None, None))[1] or 0.0
-                rest = p(history[len(history) - m + 2 :], c) if m > 2 else p("", c)
-                return back + rest
-        (unk,) = perplexity.keys_of_strings([""], ["en"])
-        return model[unk][0]
+    def p(history, c, m=perplexity.ORDER):
+        (key,) = perplexity.keys_of_strings([history[len(history) - m + 1 :] + c if m else ""], ["en"])
+        if m == 0 or (key in model and model[key][0] is not None):
+            return model[key][0]
+        back = 0.0
+        if m > 1:
+            (context,) = perplexity.keys_of_strings([history[len(history) - m + 1 :]], ["en"])
+            back = model.get(context, (None, None))[1] or 0.0
+        return back + p(history, c, m - 1)
 
     for history in ("\x02\x02\x02\x02", "the ", "cat ", "zzzz", " sat"):
         total = sum(math.exp(p(history, c)) for c in alphabet) + math.exp(p(history, "中"))
