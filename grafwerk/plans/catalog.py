@@ -499,3 +499,93 @@ def _(t):
     from ..streaming.events import latest
 
     return latest(t.events)
+
+
+# ---- more of sources, filters and sets ---------------------------------------
+
+
+@_query("join_import_paths", "SELECT DISTINCT a.path || '>' || b.path AS ref_id, b.path AS dst, CAST(1 AS INTEGER) AS conf FROM edge e JOIN sym a ON a.symbol_id = e.src JOIN sym b ON b.symbol_id = e.dst WHERE e.kind = 'calls' AND e.src LIKE 'S%'")
+def _(t):
+    """Files that call files, as relative imports without an extension."""
+    at = lambda end, name: t.symbols().select(F.col("symbol_id").alias(end), F.col("path").alias(name))
+    pairs = t.edges().filter("kind = 'calls' AND src LIKE 'S%'").join(at("src", "p"), "src").join(at("dst", "q"), "dst").select("p", "q").distinct()
+    refs = pairs.select(F.concat("p", F.lit(">"), "q").alias("ref_id"), F.col("p").alias("path"), F.lit("python").alias("language"), F.concat(F.lit(".././"), F.regexp_replace("q", "\\.py$", "")).alias("dst_name"))
+    return resolve.resolve_paths(refs, t.symbols().select("path").distinct().withColumn("symbol_id", F.col("path")))
+
+
+@_query("flt_sink_preset", "SELECT page_id, len(regexp_extract_all(html, '(?i)href|src=|https?://')) AS n FROM pages WHERE regexp_matches(html, '(?i)href|src=|https?://')", graph=False)
+def _(t):
+    preset = "(?i)href|src=|https?://"
+    return t.pages.filter(F.col("html").rlike(preset)).select("page_id", F.regexp_count("html", F.lit(preset)).cast("long").alias("n"))
+
+
+@_query("agg_fingerprints", "SELECT substr(sha256(lang || '|' || source), 1, 24) AS fingerprint, count(*) AS n FROM documents GROUP BY 1", graph=False)
+def _(t):
+    return t.documents.groupBy(F.substring(F.sha2(F.concat("lang", F.lit("|"), "source"), 256), 1, 24).alias("fingerprint")).agg(n())
+
+
+@_query("agg_localisation", """g AS (SELECT src, list_sort(list(DISTINCT dst)) AS gold FROM edge WHERE kind = 'calls' AND dst IS NOT NULL AND conf >= 1 GROUP BY src), p AS (SELECT src, list(DISTINCT dst) AS said FROM edge WHERE kind = 'calls' AND dst IS NOT NULL AND line % 2 = 0 GROUP BY src)
+SELECT src, round(coalesce(len(list_intersect(gold, said)), 0) / len(gold), 6) AS recall, coalesce(len(list_intersect(gold, said)), 0) > 0 AS any_hit, coalesce(len(list_intersect(gold, said)), 0) = len(gold) AS all_hit FROM g LEFT JOIN p USING (src)""")
+def _(t):
+    e = t.edges().filter("kind = 'calls' AND dst IS NOT NULL")
+    pairs = e.groupBy("src", "dst").agg(F.max((F.col("conf") >= 1).cast("int")).alias("gold"), F.max((F.col("line") % 2 == 0).cast("int")).alias("said"))
+    g = pairs.groupBy("src").agg(F.sum("gold").alias("gold"), F.sum(F.col("gold") * F.col("said")).alias("hit")).filter("gold > 0")
+    return g.select("src", F.round(F.col("hit") / F.col("gold"), 6).alias("recall"), (F.col("hit") > 0).alias("any_hit"), (F.col("hit") == F.col("gold")).alias("all_hit"))
+
+
+@_query("srt_top_symbols", "d AS (SELECT dst, count(*) AS n FROM edge WHERE dst IS NOT NULL GROUP BY dst) SELECT dst, n FROM d ORDER BY n DESC, dst LIMIT 25")
+def _(t):
+    return t.edges().filter("dst IS NOT NULL").groupBy("dst").agg(n()).orderBy(F.desc("n"), "dst").limit(25)
+
+
+@_query("set_union_of_impacts", "SELECT id, CAST(min(d) AS BIGINT) AS depth FROM (SELECT src AS id, 1 AS d FROM edge WHERE dst = 'R0' UNION ALL SELECT src, 1 FROM edge WHERE dst = 'R1' UNION ALL SELECT b.src, 2 FROM edge a JOIN edge b ON b.dst = a.src WHERE a.dst IN ('R0', 'R1')) GROUP BY id")
+def _(t):
+    e = t.edges()
+    both = traverse.impact(e, _ids(t, "R0"), 2).unionByName(traverse.impact(e, _ids(t, "R1"), 2))
+    return both.groupBy("id").agg(F.min("depth").alias("depth"))
+
+
+@_query("win_conversation_alternation", "SELECT conv_id, count(*) FILTER (role = before) AS repeats FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id", graph=False)
+def _(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.conversations.withColumn("before", F.lag("role").over(w)).groupBy("conv_id").agg(F.count_if(F.col("role") == F.col("before")).alias("repeats"))
+
+
+@_query("str_sliding", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL", graph=False)
+def _(t):
+    from ..streaming.events import sliding
+
+    return sliding(t.events, "2 hours", "1 hour")
+
+
+@_query("ext_markdown_sections", None)
+def _(t):
+    from ..functions.extract import extract
+
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), "text")
+    return extract(files).filter("record = 'sym'").groupBy("kind").agg(n())
+
+
+_PROGRAM = """import os
+def read():
+    return input()
+def run(command, quiet):
+    os.system(command)
+def main():
+    run(read(), False)
+def safe():
+    run(quote(read()), True)
+"""
+
+
+@_query("flow_taint", None)
+def _(t):
+    from ..functions.extract import extract
+    from ..functions.flow import flow_table
+    from ..operators.taint import taint
+
+    files = t.spark.createDataFrame([("app.py", "python", _PROGRAM)], "path string, language string, text string")
+    found = extract(files)
+    names = found.filter("record = 'sym' AND kind = 'function'").select(F.col("fqn").alias("dst"), F.col("name").alias("dst_name"))
+    calls = found.filter("record = 'ref' AND kind = 'calls'").select("kind", F.col("fqn").alias("src"), F.col("name").alias("dst_name"), F.col("start_line").cast("long").alias("line")).join(names, "dst_name", "left").withColumn("conf", F.lit(1))
+    return taint(flow_table(files), calls)
