@@ -30,6 +30,7 @@ from .common import filesystem, fresh_path, mix, text_chunks, words_of, written
 
 ORDER = 5
 CHUNK_ROWS = 16_384
+CHUNK_BYTES = 1 << 20  # of text at a time
 QUANTILE = 0.99
 HELD_OUT = 4
 ROOM = 0.1  # nats a character
@@ -108,30 +109,36 @@ def _counted(texts: DataFrame) -> DataFrame:
     """lang, gram, n of all ORDER-grams of (lang, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, dict[str, int]] = {}
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key = np.concatenate([p[0] for p in parts])
+            key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(key)).astype(np.int64)
+            return key, np.concatenate([p[1] for p in parts])[first], n
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for first, end, raw, off in text_chunks(batch.column(1)):
-                chars, starts, row = characters(raw, off)
-                if not len(chars):
+            for first, end, raw, off in text_chunks(batch.column(1), CHUNK_BYTES):
+                polynomials, at, row = _positions(raw, off)
+                if not len(at):
                     continue
-                g = grams(chars)[-1]
-                some = langs[first:end]
-                real = np.ones(len(chars), bool)
-                for k in range(ORDER - 1):
-                    real[starts[:-1] + k] = False
-                for lang in dict.fromkeys(some.tolist()):
-                    at = np.flatnonzero(real & (some == lang)[row])
-                    _, one, n = np.unique(g[at], return_index=True, return_counts=True)
-                    at = at[one]
-                    windows = np.ascontiguousarray(np.stack([chars[at - ORDER + 1 + k] for k in range(ORDER)], axis=1))
-                    texts_ = windows.tobytes().decode("utf-32-le")
-                    mine = held.setdefault(lang, {})
-                    for k, c in enumerate(n.tolist()):
-                        s = texts_[k * ORDER : (k + 1) * ORDER]
-                        mine[s] = mine.get(s, 0) + c
-        for lang, mine in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["lang", "gram", "n"])
+                chars, _, _ = characters(raw, off)
+                of = langs[first:end]
+                for lang in dict.fromkeys(of.tolist()):
+                    mine = at[(of == lang)[row]]
+                    key, one, n = np.unique(polynomials[-1][mine], return_index=True, return_counts=True)
+                    mine = mine[one]
+                    windows = np.stack([chars[mine - ORDER + 1 + k] for k in range(ORDER)], axis=1)
+                    parts = held.setdefault(lang, [])
+                    parts.append((key, windows, n))
+                    if len(parts) > 12:
+                        held[lang] = [merged(parts)]
+        for lang, parts in held.items():
+            _, windows, n = merged(parts)
+            text = np.ascontiguousarray(windows).tobytes().decode("utf-32-le")
+            strings = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(strings, pa.string()), pa.array(n)], names=["lang", "gram", "n"])
 
     return texts.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -294,7 +301,7 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = []
             now = chunk
             lang = _languages(run)
-            for first, end, raw, off in text_chunks(run.column("text")):
+            for first, end, raw, off in text_chunks(run.column("text"), CHUNK_BYTES):
                 polynomials, at, row = _positions(raw, off)
                 of = lang[first:end][row]
                 langs = np.unique(of)
@@ -319,6 +326,8 @@ def score(documents: DataFrame, model: DataFrame) -> DataFrame:
     rows = _chunked(documents)
     folder = fresh_path(spark, "kn-slices")
     wanted = rows.select("lang", "text", "chunk").mapInArrow(_chunk_keys, "chunk long, key long")
+    # both halves of a chunk that two tasks read list its grams: partitioned by key, they become one row without another shuffle
+    wanted = wanted.repartition("key").dropDuplicates(["key", "chunk"])
     found = wanted.join(model, "key").select("chunk", "key", "logp", "backoff")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +368,7 @@ def score(documents: DataFrame, model: DataFrame) -> DataFrame:
                 if chunk != now or part is None:
                     now, part = chunk, _load(folder, chunk)
                 lang = _languages(some)
-                for first, end, raw, off in text_chunks(some.column("text")):
+                for first, end, raw, off in text_chunks(some.column("text"), CHUNK_BYTES):
                     n = end - first
                     polynomials, at, row = _positions(raw, off)
                     logs = part.logs(polynomials, at, lang[first:end][row])
