@@ -117,29 +117,31 @@ class Tagger:
                     self.mask[a, b] = -1e4
         self.mask_first = np.array([-1e4 if b and b % 2 == 0 else 0.0 for b in range(TAGS)])
 
-    def _lstm(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def _lstm(self, x: np.ndarray, keep: list | None) -> np.ndarray:
+        """Hidden states (rows, places, 2 * HIDDEN) of both directions, run side by side: the second one over reversed places."""
         n, t, _ = x.shape
-        h = np.zeros((n, HIDDEN))
-        c = np.zeros((n, HIDDEN))
-        out = np.empty((n, t, HIDDEN))
-        gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = gates[:, k] + h @ self.w[f"h{d}"]
-            s = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
+        wx, wh, bias = (np.stack([self.w[k + "f"], self.w[k + "b"]]) for k in "xhc")
+        both = np.stack([x, x[:, ::-1]]).reshape(2, n * t, -1)
+        gates = np.ascontiguousarray((both @ wx + bias[:, None]).reshape(2, n, t, -1).transpose(2, 0, 1, 3))
+        h, c = np.zeros((2, n, HIDDEN)), np.zeros((2, n, HIDDEN))
+        out = np.empty((n, t, 2 * HIDDEN))
+        for k in range(t):
+            z = gates[k] + h @ wh
+            s = 1 / (1 + np.exp(-z[..., : 3 * HIDDEN]))
+            i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
+            g = np.tanh(z[..., 3 * HIDDEN :])
             before, last = c, h
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
-            out[:, k] = h
+            out[:, k, :HIDDEN] = h[0]
+            out[:, t - 1 - k, HIDDEN:] = h[1]
             if keep is not None:
                 keep.append((k, i, f, o, g, before, last, tc))
         return out
 
     def emissions(self, symbols: np.ndarray) -> np.ndarray:
-        x = self.w["emb"][symbols]
-        return np.concatenate([self._lstm(x, "f", None), self._lstm(x, "b", None)], axis=2) @ self.w["out"] + self.w["bias"]
+        return self._lstm(self.w["emb"][symbols], None) @ self.w["out"] + self.w["bias"]
 
     @staticmethod
     def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -165,8 +167,8 @@ class Tagger:
         """Mean negative log likelihood of a character, and its gradient."""
         n, t = symbols.shape
         x = self.w["emb"][symbols]
-        kept: dict[str, list] = {"f": [], "b": []}
-        h = np.concatenate([self._lstm(x, "f", kept["f"]), self._lstm(x, "b", kept["b"])], axis=2)
+        kept: list = []
+        h = self._lstm(x, kept)
         e = h @ self.w["out"] + self.w["bias"]
         z, alpha, beta = self.forward_backward(e)
         move = self.w["move"] + self.mask
@@ -178,24 +180,28 @@ class Tagger:
         g["first"] = de[:, 0].sum(0)
         np.add.at(g["first"], tags[:, 0], -1)
         de[rows[:, None], np.arange(t)[None], tags] -= 1
-        for k in range(1, t):
-            g["move"] += np.exp(alpha[:, k - 1, :, None] + move + (e[:, k] + beta[:, k])[:, None, :] - z[:, None, None]).sum(0)
+        g["move"] = np.exp(alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
         np.add.at(g["move"], (tags[:, :-1].reshape(-1), tags[:, 1:].reshape(-1)), -1)
         g["bias"] = de.sum((0, 1))
         g["out"] = h.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, TAGS)
         dh = de @ self.w["out"].T
-        dx = np.zeros_like(x)
-        for d, part in (("f", dh[:, :, :HIDDEN]), ("b", dh[:, :, HIDDEN:])):
-            back, cell = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-            for k, i, f, o, c_in, before, last, tc in reversed(kept[d]):
-                dhk = part[:, k] + back
-                dc = cell + dhk * o * (1 - tc**2)
-                dz = np.concatenate([dc * c_in * i * (1 - i), dc * before * f * (1 - f), dhk * tc * o * (1 - o), dc * i * (1 - c_in**2)], axis=1)
-                cell, back = dc * f, dz @ self.w[f"h{d}"].T
-                g[f"x{d}"] += x[:, k].T @ dz
-                g[f"h{d}"] += last.T @ dz
-                g[f"c{d}"] += dz.sum(0)
-                dx[:, k] += dz @ self.w[f"x{d}"].T
+        wx, wh = (np.stack([self.w[k + "f"], self.w[k + "b"]]) for k in "xh")
+        part = np.stack([dh[:, :, :HIDDEN], dh[:, ::-1, HIDDEN:]])
+        back, cell = np.zeros((2, n, HIDDEN)), np.zeros((2, n, HIDDEN))
+        dzs, lasts = np.empty((2, n, t, 4 * HIDDEN)), np.empty((2, n, t, HIDDEN))
+        for k, i, f, o, c_in, before, last, tc in reversed(kept):
+            dhk = part[:, :, k] + back
+            dc = cell + dhk * o * (1 - tc**2)
+            dz = np.concatenate([dc * c_in * i * (1 - i), dc * before * f * (1 - f), dhk * tc * o * (1 - o), dc * i * (1 - c_in**2)], axis=2)
+            cell, back = dc * f, dz @ wh.transpose(0, 2, 1)
+            dzs[:, :, k], lasts[:, :, k] = dz, last
+        flat = dzs.reshape(2, n * t, -1)
+        both = np.stack([x, x[:, ::-1]]).reshape(2, n * t, -1)
+        of_x, of_h, of_c = both.transpose(0, 2, 1) @ flat, lasts.reshape(2, n * t, -1).transpose(0, 2, 1) @ flat, flat.sum(1)
+        for d, name in enumerate("fb"):
+            g[f"x{name}"], g[f"h{name}"], g[f"c{name}"] = of_x[d], of_h[d], of_c[d]
+        back_x = (flat @ wx.transpose(0, 2, 1)).reshape(2, n, t, -1)
+        dx = back_x[0] + back_x[1][:, ::-1]
         np.add.at(g["emb"], symbols.reshape(-1), dx.reshape(-1, EMBEDDED))
         return float((z - gold).sum() * scale), {k: v * scale for k, v in g.items()}
 

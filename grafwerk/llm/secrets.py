@@ -41,8 +41,7 @@ class Rule:
     base: bool = False
 
 
-_KEYS = "".join
-_assign = "(" + "|".join(_KEYS(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
+_assign = "(" + "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
 RULES = [
     Rule("assign", _assign + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16, True),
