@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The words of every operator are maximal runs of bytes outside this set.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +46,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI or a plain path; usable in tasks."""
     from pyarrow import fs
@@ -156,12 +147,6 @@ _LOWERED = _BYTE.copy()
 _LOWERED[65:91] = _BYTE[97:123]
 
 
-def code_points_before(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For ascending byte positions of one text, the code points before each."""
-    lead = (raw & 0xC0) != 0x80
-    return np.concatenate([[0], np.cumsum(lead)])[at]
-
-
 def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of a per-byte 0/1 or small integer array over the rows that off delimits."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
