@@ -30,7 +30,7 @@ from .common import filesystem, fresh_path, mix, text_chunks, words_of, written
 
 ORDER = 5
 CHUNK_ROWS = 16_384
-CHUNK_BYTES = 1 << 20  # of text at a time
+CHUNK_BYTES = 1 << 19  # of text at a time; every array of a chunk is 8 or more times as long
 QUANTILE = 0.99
 HELD_OUT = 4
 ROOM = 0.1  # nats a character
@@ -132,7 +132,7 @@ def _counted(texts: DataFrame) -> DataFrame:
                     windows = np.stack([chars[mine - ORDER + 1 + k] for k in range(ORDER)], axis=1)
                     parts = held.setdefault(lang, [])
                     parts.append((key, windows, n))
-                    if len(parts) > 12:
+                    if len(parts) > 8:
                         held[lang] = [merged(parts)]
         for lang, parts in held.items():
             _, windows, n = merged(parts)
