@@ -8,6 +8,10 @@ share statistics), by 64-bit hash. Everything that is counted is counted over al
    nodes of the graph are the seeds and the terms that shifted mutual information ties to a seed
 3. pairs of nodes within SPAN words, which make the graph
 
+No count of seeds, nodes or edges is fixed: they are tables. Node hashes go to the tasks that count pairs up to
+MOST_BROADCAST; beyond, all pairs are counted and joined with the nodes, and the walks are joins, one a step. Below that a
+step is a product in tasks over edges that lie by their end, or in the driver up to MOST_HELD edges.
+
 Two walks with restart, from toxic and from neutral seeds, give each node its polarity. A document's features are sums
 over its terms' weights; a logistic curve, fitted on the labelled training rows of the sample, makes a score of them.
 Only rows with crc32(doc_id) mod 4 <> 2 are learned from, at most LABELLED of them, those with the lowest hashes of
@@ -17,7 +21,7 @@ doc_id. Language, source and id are inputs of nothing.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from .common import mix, span_hashes, text_chunks, written
 STEM = 5
 SPAN = 4
 LABELLED = 50_000
-SEEDS = 256  # of each polarity, at most
-NODES = 1536  # the graph's capacity, seeds included
+MOST_BROADCAST = 2_000_000  # terms sent to tasks
+MOST_HELD = 1_000_000  # edges walked over in the driver
 LEAST_Z = 5.0
 LEAST_PAIRS = 3
 SHIFT = 1.0  # natural log: pairs three times as often as by chance
@@ -153,21 +157,25 @@ def _distinct_by_row(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return t[new]
 
 
-def pair_counts(documents: DataFrame, one: np.ndarray, other: np.ndarray | None) -> DataFrame:
-    """a, b, n: occurrences of a term b (of `other`, or any) within SPAN words of a term a of `one` (sorted hashes)."""
+def pair_counts(documents: DataFrame, one: np.ndarray | None, other: np.ndarray | None, hold: int = 2_000_000) -> DataFrame:
+    """a, b, n: occurrences of a term b (of `other`, or any) within SPAN words of a term a of `one`, or any (sorted hashes)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows, least = 0, hold // 4
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             a, b, n = (np.concatenate([h[k] for h in held]) for k in range(3)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
             _, first, inverse = np.unique(mix(a) + b, return_index=True, return_inverse=True)
             return a[first], b[first], np.bincount(inverse, n, len(first)).astype(np.int64)
 
+        def batch_of(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
+
         for batch in batches:
             for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
                 h, row = stems(raw, off)
-                at = np.flatnonzero(_within(h, one))
+                at = np.arange(len(h)) if one is None else np.flatnonzero(_within(h, one))
                 for step in range(1, SPAN + 1):
                     for move in (step, -step):
                         k = at[(at + move >= 0) & (at + move < len(h))]
@@ -177,13 +185,66 @@ def pair_counts(documents: DataFrame, one: np.ndarray, other: np.ndarray | None)
                             ok = _within(b, other)
                             k, b = k[ok], b[ok]
                         held.append((h[k], b, np.ones(len(b), np.int64)))
-                held = [merged()]
-        a, b, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
+                        rows += len(b)
+                if rows > least:
+                    held = [merged()]
+                    rows = len(held[0][0])
+                    if rows > hold:  # the sums by pair go on after the shuffle
+                        yield batch_of(*held[0])
+                        held, rows = [], 0
+                    least = max(hold // 4, 2 * rows)
+        yield batch_of(*merged())
 
     return _texts(documents).mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def node_pairs(documents: DataFrame, nodes: np.ndarray, least: int = 1, hold: int = 1_000_000) -> DataFrame:
+    """a, b, n: what pair_counts gives for nodes and nodes, without pairs of a term with itself, where n is `least` or more."""
+    size = np.uint64(max(1, len(nodes)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new: list[np.ndarray] = []
+        keys, n, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            u, some = np.unique(np.concatenate(new), return_counts=True) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            both = np.concatenate([keys, u])
+            order = np.argsort(both, kind="stable")
+            both, m = both[order], np.concatenate([n, some])[order]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+            return both[first], np.add.reduceat(m, first) if len(first) else m
+
+        def batch_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
+                h, row = stems(raw, off)
+                at = np.minimum(np.searchsorted(nodes, h), max(0, len(nodes) - 1))
+                on = nodes[at] == h if len(nodes) else np.zeros(len(h), bool)
+                at = at.astype(np.uint64)
+                for step in range(1, SPAN + 1):
+                    k = np.flatnonzero(on[:-step] & on[step:] & (row[:-step] == row[step:]) & (at[:-step] != at[step:]))
+                    x, y = at[k], at[k + step]
+                    new.append(np.minimum(x, y) * size + np.maximum(x, y))
+                    rows += len(k)
+                if rows > hold:
+                    (keys, n), new, rows = merged(), [], 0
+                    if len(keys) > hold:  # the sums by pair go on after the shuffle
+                        yield batch_of(keys, n)
+                        keys, n = keys[:0], n[:0]
+        yield batch_of(*merged())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            x, y = (nodes[k].view(np.int64) for k in (key // size, key % size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)), pa.array(np.append(y, x)), pa.concat_arrays([batch.column(1)] * 2)], names=["a", "b", "n"])
+
+    sums = _texts(documents).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") >= least).mapInArrow(named, "a long, b long, n long")
+
+
 def _within(h: np.ndarray, some: np.ndarray) -> np.ndarray:
     if not len(some):
         return np.zeros(len(h), bool)
@@ -197,6 +258,114 @@ def _leaning(terms: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return terms.withColumn("lean", (a - b) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))).withColumn("odds", F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("n_clean") + 0.5) / (n_clean + 1)))
 
 
+def _sent(terms: DataFrame, most: int) -> np.ndarray | None:
+    """The sorted hashes of the column term, or None (any) beyond `most`."""
+    if terms.count() > most:
+        return None
+    return np.sort(terms.select("term").toArrow().column("term").to_numpy().view(np.uint64))
+
+
+def _product(edges: DataFrame, n: int, most_held: int) -> Callable[[np.ndarray], np.ndarray]:
+    """x -> the sums of w * x[a] by b, over edges (a, b, w) between n numbered nodes; beyond most_held edges in tasks."""
+
+    def sums(a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(b, w * x[a, k], n) for k in range(x.shape[1])], axis=1)
+
+    if edges.count() <= most_held:
+        held = edges.toArrow()
+        a, b, w = (held.column(c).to_numpy() for c in ("a", "b", "w"))
+        return lambda x: sums(a, b, w, x)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y, met = np.zeros_like(x), np.zeros(n, bool)
+            held: list[pa.RecordBatch] = []
+
+            def add() -> None:
+                some = pa.Table.from_batches(held)
+                a, b, w = (some.column(k).to_numpy() for k in range(3))
+                np.add(y, sums(a, b, w, x), out=y)
+                met[b] = True
+                held.clear()
+
+            for batch in batches:
+                held.append(batch)
+                if len(held) * len(held[0]) > n:
+                    add()
+            if held:
+                add()
+            b = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(y[b, 0]), pa.array(y[b, -1])], names=["b", "first", "last"])
+
+        got = edges.mapInArrow(run, "b int, first double, last double").toArrow()  # tables lie by b: about a row a node
+        b = got.column("b").to_numpy()
+        return np.stack([np.bincount(b, got.column(c).to_numpy(), n) for c in ("first", "last")], axis=1)
+
+    return product
+
+
+def walked(nodes: DataFrame, edges: DataFrame, most_held: int = MOST_HELD, most: int = MOST_BROADCAST) -> DataFrame:
+    """term, plus, minus: two walks with restart over edges (a, b, w) of nodes (term, hot, cold), from hot and from cold ones."""
+    n_hot, n_cold = nodes.agg(F.sum(F.col("hot").cast("long")), F.sum(F.col("cold").cast("long"))).first()
+    share = lambda c, n: F.when(F.col(c), F.lit(1.0 / max(1, n))).otherwise(0.0)
+    start = written(nodes.select("term", share("hot", n_hot).alias("s_plus"), share("cold", n_cold).alias("s_minus")), "toxicity-start")
+    if start.count() <= most:
+        table = start.toArrow().sort_by("term")
+        term = table.column("term").to_numpy()
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (pa.array(np.searchsorted(term, batch.column(k).to_numpy()).astype(np.int32)) for k in range(2))
+                yield pa.RecordBatch.from_arrays([a, b, batch.column(2)], names=["a", "b", "w"])
+
+        times = _product(written(edges.select("a", "b", "w").mapInArrow(number, "a int, b int, w double").repartition("b"), "toxicity-edges"), len(term), most_held)
+        d = times(np.ones((len(term), 2)))[:, :1]
+        scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0.0)
+        s = p = np.stack([table.column(c).to_numpy() for c in ("s_plus", "s_minus")], axis=1)
+        for _ in range(STEPS):
+            p = (1 - RESTART) * scale * times(scale * p) + RESTART * s
+        return nodes.sparkSession.createDataFrame(pa.table({"term": term, "plus": p[:, 0].copy(), "minus": p[:, 1].copy()}))
+    edges = written(edges, "toxicity-edges")
+    degree = edges.groupBy("a").agg(F.sum("w").alias("d"))
+    step = edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("d_b")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("d_b"))).alias("step"))
+    step = written(step, "toxicity-steps")
+    p = start.select("term", F.col("s_plus").alias("plus"), F.col("s_minus").alias("minus"))
+    for _ in range(STEPS):
+        come = step.join(p.withColumnRenamed("term", "a"), "a").groupBy(F.col("b").alias("term")).agg(F.sum(F.col("step") * F.col("plus")).alias("plus"), F.sum(F.col("step") * F.col("minus")).alias("minus"))
+        moved = lambda c: ((1 - RESTART) * F.coalesce(c, F.lit(0.0)) + RESTART * F.col(f"s_{c}")).alias(c)
+        p = written(start.join(come, "term", "left").select("term", moved("plus"), moved("minus")), "toxicity-walk")
+    return p
+
+
+def graph(documents: DataFrame, terms: DataFrame, total: int, most: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """Nodes (the columns of terms, hot, cold) and edges (a, b, w): every seed, and every term that is tied to a toxic one."""
+    seeds = terms.withColumn("hot", (F.col("lean") >= LEAST_Z) & (F.col("odds") >= 1)).withColumn("cold", (F.col("lean") < 0) & (F.col("odds") < 0)).filter("hot OR cold")
+    seeds = written(seeds, "toxicity-seeds")
+    hot = seeds.filter("hot").select(F.col("term").alias("a"), F.col("n").alias("n_a"))
+    pmi = F.log(F.col("pairs") * F.lit(float(total)) / (2.0 * SPAN * F.col("n_a") * F.col("n_b")))
+    near = pair_counts(documents, _sent(hot.withColumnRenamed("a", "term"), most), None).filter(F.col("n") >= LEAST_PAIRS).withColumnRenamed("n", "pairs")
+    tied = near.join(hot, "a").join(terms.select(F.col("term").alias("b"), F.col("n").alias("n_b")), "b").filter(pmi >= SHIFT).select(F.col("b").alias("term")).distinct()
+    more = terms.join(tied, "term").join(seeds.select("term"), "term", "left_anti").withColumns({"hot": F.lit(False), "cold": F.lit(False)})
+    nodes = written(seeds.unionByName(more), "toxicity-nodes")
+    sent = _sent(nodes, most)
+    if sent is None:
+        end = lambda c: nodes.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}"))
+        pairs = pair_counts(documents, None, None).filter(F.col("n") >= LEAST_PAIRS).withColumnRenamed("n", "pairs")
+        return nodes, pairs.join(end("a"), "a").join(end("b"), "b").filter("a <> b").select("a", "b", pmi.alias("w")).filter("w > 0")
+    table = nodes.select("term", "n").toArrow()
+    n = np.zeros(len(sent))
+    n[np.searchsorted(sent, table.column("term").to_numpy().view(np.uint64))] = table.column("n").to_numpy()
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.searchsorted(sent, batch.column(k).to_numpy().view(np.uint64)) for k in range(2))
+            w = np.log(batch.column(2).to_numpy() * float(total) / (2 * SPAN * n[a] * n[b]))
+            on = pa.array(w > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on), pa.array(w).filter(on)], names=["a", "b", "w"])
+
+    return nodes, node_pairs(documents, sent, LEAST_PAIRS).mapInArrow(weighed, "a long, b long, w double")
+
+
 def induce(documents: DataFrame, labels: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted term hashes, weights): the lexicon. Empty where the labels have one class only."""
     n_toxic, n_clean = sum(labels.values()), sum(1 - v for v in labels.values())
@@ -205,49 +374,18 @@ def induce(documents: DataFrame, labels: dict[int, int]) -> tuple[np.ndarray, np
         return nothing
     terms = _leaning(written(term_counts(documents, labels), "toxicity-terms"), n_toxic, n_clean)
     total = terms.agg(F.sum("n")).first()[0]
-    if not total:
-        return nothing
-    toxic = terms.filter((F.col("lean") >= LEAST_Z) & (F.col("odds") >= 1)).orderBy(F.desc("lean"), "term").limit(SEEDS).collect()
-    clean = terms.filter((F.col("lean") < 0) & (F.col("odds") < 0)).orderBy("lean", "term").limit(SEEDS).collect()
-    if not toxic:
+    if not total or terms.filter((F.col("lean") >= LEAST_Z) & (F.col("odds") >= 1)).isEmpty():
         return nothing
-    seeds = np.sort(np.array([r.term for r in toxic + clean], np.int64).view(np.uint64))
-    hot = np.sort(np.array([r.term for r in toxic], np.int64).view(np.uint64))
-    near = written(pair_counts(documents, hot, None), "toxicity-near")
-    n_of = terms.select("term", "n", "n_toxic", "n_clean", "odds")
-    hot_n = {r.term: r.n for r in toxic}
-    by_hot = F.create_map(*[x for t, n in hot_n.items() for x in (F.lit(t), F.lit(n))])
-    tied = near.filter(F.col("n") >= LEAST_PAIRS).withColumnRenamed("n", "pairs").join(n_of.withColumnRenamed("term", "b"), "b").withColumn("pmi", F.log(F.col("pairs") * F.lit(float(total)) / (2 * SPAN * F.col("n") * by_hot[F.col("a")])))
-    more = tied.filter(F.col("pmi") >= SHIFT).groupBy("b").agg(F.max("pmi").alias("pmi")).orderBy(F.desc("pmi"), "b").limit(NODES - 2 * SEEDS).collect()
-    nodes = np.unique(np.concatenate([seeds, np.array([r.b for r in more], np.int64).view(np.uint64)]))
-    stats = {r.term: r for r in n_of.join(F.broadcast(documents.sparkSession.createDataFrame([(int(t),) for t in nodes.view(np.int64)], "term long")), "term").collect()}
-    info = [stats[int(t)] for t in nodes.view(np.int64)]
-    n = np.array([r.n for r in info], float)
-    edges = pair_counts(documents, nodes, nodes).filter(F.col("n") >= LEAST_PAIRS).toArrow()  # at most NODES squared rows
-    a, b = (np.searchsorted(nodes, edges.column(c).to_numpy().view(np.uint64)) for c in ("a", "b"))
-    pmi = np.log(edges.column("n").to_numpy().astype(float) * total / (2 * SPAN * n[a] * n[b]))
-    on = (pmi > 0) & (a != b)
-    a, b, w = a[on], b[on], pmi[on]
-    degree = np.bincount(a, w, len(nodes))
-    step = w / np.sqrt(degree[a] * degree[b])
-
-    def walk(start: list) -> np.ndarray:
-        s = np.zeros(len(nodes))
-        s[np.searchsorted(nodes, np.array([r.term for r in start], np.int64).view(np.uint64))] = 1 / max(1, len(start))
-        p = s.copy()
-        for _ in range(STEPS):
-            p = (1 - RESTART) * np.bincount(b, step * p[a], len(nodes)) + RESTART * s
-        return p
-
-    plus, minus = walk(toxic), walk(clean)
-    polarity = plus / np.maximum(plus + minus, 1e-300)
+    nodes, edges = graph(documents, terms, total)
+    polar = nodes.join(walked(nodes, edges), "term").withColumn("polarity", F.col("plus") / F.greatest(F.col("plus") + F.col("minus"), F.lit(1e-300)))
     # evidence from labels, where there is any, stands beside the walk's
-    odds = np.array([r.odds for r in info])
-    seen = np.array([r.n_toxic + r.n_clean for r in info], float)
+    seen = (F.col("n_toxic") + F.col("n_clean")).cast("double")
     trust = seen / (seen + 10)
-    weight = trust * np.clip(odds, -6, 6) + (1 - trust) * 4 * (2 * polarity - 1)
-    weight = np.where((weight > 0.7) & (polarity > 0.5), weight, 0.0)
-    return nodes[weight > 0], weight[weight > 0]
+    weight = trust * F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col("odds"))) + (1 - trust) * 4 * (2 * F.col("polarity") - 1)
+    lexicon = polar.withColumn("weight", weight).filter("weight > 0.7 AND polarity > 0.5").select("term", "weight").toArrow()
+    found, weights = lexicon.column("term").to_numpy().view(np.uint64), lexicon.column("weight").to_numpy()
+    order = np.argsort(found)
+    return found[order], weights[order]
 
 
 FEATURES = ["total", "hits", "density", "strongest", "kinds"]
