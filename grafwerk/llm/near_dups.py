@@ -5,12 +5,17 @@ class at once (a hash of the whole set); everything below is between classes. Tw
 coordinates: sigma scatters a shingle, pi is applied to sigma's value shifted circularly by k steps, and coordinate k is
 the least pi. Bands of ROWS coordinates make buckets.
 
-Links inside buckets, without all pairs and without dropping any: in each round a bucket has a centre (later CENTRES of
-them, from the smallest components), its other members are confirmed against the centres on full sets, and the centres
-leave the bucket, tested against every member that isn't in their component yet. Buckets whose members are all in one
-component are done. Buckets that still hold several components after ROUNDS such rounds (many texts that share a passage)
-are divided by a second band, then a third: members that are linked agree in several bands. A round is linear in the rows
-of the buckets left.
+Candidates are thinned before any set moves: by the sizes of the sets, which bound their similarity, and by AGREE, the
+least number of equal coordinates (of the last byte of each) that a pair must show. What is left is confirmed on full sets.
+
+Links inside buckets, without all pairs: a bucket has a centre, its other members are compared with the centre, and the
+centre leaves. Buckets whose members all lie in one component are done. The classes of buckets that still hold several
+components (many texts that share a passage) are joined exactly, by prefixes: in any order of all shingles, two sets of
+similarity 0.7 share a shingle among the first n - ceil(0.7 n) + 1 of each. The order is from rare to frequent, so a text
+with enough shingles of its own has an empty prefix and meets nobody. The shared shingles make new buckets, which go
+through rounds of centres. Those that stay mixed are divided by the next shared shingle of longer prefixes where that makes
+them cheaper (halves the sum of squares of their members), at any depth; where it doesn't, because hundreds of texts share
+all their rare shingles and still aren't alike, rounds with ever more centres compare all members. So no link is lost there.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, span_hashes, text_chunks, words_of, written
@@ -29,9 +34,9 @@ SHINGLE = 5
 PERCENT = 70
 BANDS = 40
 ROWS = 4
-ROUNDS = 2  # with CENTRES centres each, after the first, which has one
-CENTRES = 16
-LEVELS = 8
+AGREE = 84  # of the BANDS * ROWS coordinates; at similarity 0.7 fewer agree with chance 2e-6
+CENTRES = 4  # of a bucket of shared prefixes, in its first round
+SMALL = 128  # members of a bucket that isn't worth dividing
 BLOCK = 1 << 15
 MOST_BROADCAST = 1_000_000
 
@@ -118,8 +123,12 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _class_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), same (hash of the set; null if empty), bands."""
+    """doc_id, n (size of the set), same (64-bit hash of the set; null if empty), bands, sketch (a byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,32 +136,61 @@ def signed(documents: DataFrame) -> DataFrame:
                 sets = sets_of(raw, off)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                same: list[bytes | None] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                keys = bands_of(signatures([sets[i] for i in full])) if len(full) else np.zeros((0, BANDS), np.int64)
+                same = [_class_of(s) if len(s) else None for s in sets]
+                signature = signatures([sets[i] for i in full]) if len(full) else np.zeros((0, BANDS * ROWS), np.uint32)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), pa.array(same, pa.binary()), bands], names=["doc_id", "n", "same", "bands"])
+                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands_of(signature).reshape(-1)))
+                sketch: list[bytes | None] = [None] * len(n)
+                for i, row in zip(full.tolist(), (signature & np.uint32(255)).astype(np.uint8)):
+                    sketch[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), pa.array(same, pa.int64()), bands, pa.array(sketch, pa.binary())], names=["doc_id", "n", "same", "bands", "sketch"])
+
+    return _texts(documents).mapInArrow(run, "doc_id long, n long, same long, bands array<long>, sketch binary")
 
-    return _texts(documents).mapInArrow(run, "doc_id long, n long, same binary, bands array<long>")
+
+def _small(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, written; to be broadcast in a join if it has `most` rows at most."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, set (sorted 64-bit hashes) of the documents in wanted, from their whole texts."""
-    n = wanted.count()
-    rows = _texts(documents).join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "doc_id", "left_semi")
+    """same, set (sorted 64-bit hashes) of the classes in wanted (same, doc: a document with that set), from whole texts."""
+    wanted = _small(wanted, "dup-wanted")
+    rows = _texts(documents).join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, raw, off in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([s.tobytes() for s in sets_of(raw, off)], pa.binary())], names=["doc_id", "set"])
+            for _, _, raw, off in text_chunks(batch.column(1)):
+                sets = [s for s in sets_of(raw, off) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["same", "set"])
+
+    found = written(rows.mapInArrow(run, "same long, set binary").join(wanted.select("same"), "same", "left_semi"), "dup-sets")
+    if found.count() > wanted.count():  # repeated rows
+        found = written(found.dropDuplicates(["same"]), "dup-sets")
+    return found
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFrame:
+    """The pairs (u, v) whose sketches agree in `agree` bytes or more."""
+    a = sketches.select(F.col("same").alias("u"), F.col("sketch").alias("of_u"))
+    b = sketches.select(F.col("same").alias("v"), F.col("sketch").alias("of_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            kept = pa.array((x == y).sum(axis=1) >= agree)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return rows.mapInArrow(run, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union, on full sets."""
-    a = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v"))
-    b = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u"))
+    a = sets.select(F.col("same").alias("v"), F.col("set").alias("set_v"))
+    b = sets.select(F.col("same").alias("u"), F.col("set").alias("set_u"))
     both = pairs.join(a, "v").join(b, "u").select("u", "v", "set_u", "set_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +198,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
                 small, large = (p, q) if len(p) < len(q) else (q, p)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
@@ -174,9 +209,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of undirected edges (u, v), by alternating large and small stars."""
-    e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node reachable from each) of undirected edges."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (label[a], label[b]):  # the roots of both ends take the lower label
+            np.minimum.at(new, x, low)
+        new = np.minimum(new, new[new])
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def components(edges: DataFrame, most_held: int = MOST_BROADCAST) -> DataFrame:
+    """node, component (the smallest node reachable) of undirected edges (u, v).
+
+    Up to most_held distinct edges (16 bytes each) are joined up in the driver, more by alternating large and small stars.
+    """
+    spark = edges.sparkSession
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    held = e.limit(most_held + 1).toArrow()
+    if len(held) <= most_held:
+        node, least = least_reachable(held.column("u").to_numpy(), held.column("v").to_numpy())
+        return spark.createDataFrame(pa.table({"node": node, "component": least}))
+    e = written(e, "stars")
     while True:
         # done when every node has one neighbour below it, which has none
         forked = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
@@ -193,68 +255,177 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _in_components(rows: DataFrame, component: DataFrame | None) -> DataFrame:
-    """rows (key, doc), with the component of each doc (itself, if it has no link)."""
-    if component is None:
-        return rows.withColumn("component", F.col("doc"))
-    return rows.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """same, n, place (from 1), key: the shingles that several sets hold, by their place in the order of the set from rare to frequent.
+
+    Shingles of one set alone come first in its order; they have places, but no rows.
+    """
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            start = 0
+            while start < len(values):  # rows by the hundred thousand
+                end, held = start + 1, len(values[start])
+                while end < len(values) and held + len(values[end]) <= 100_000:
+                    held += len(values[end])
+                    end += 1
+                n = np.array([len(v) for v in values[start:end]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(values[start:end]))], names=["same", "n", "key"])
+                start = end
+
+    rows = sets.select("same", "set").mapInArrow(list_, "same long, n long, key long")
+    often = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "dup-often")
+    shared = written(rows.join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, "key"), "dup-shared")
+    own = shared.groupBy("same").agg(F.count(F.lit(1)).alias("_shared"))
+    # sets with enough shingles of their own have nothing in any prefix; what is left is ordered within each set
+    near = shared.join(own, "same").withColumn("_own", F.col("n") - F.col("_shared")).filter(F.col("_own") < F.col("n"))
+    order = Window.partitionBy("same").orderBy("held", "key")
+    return near.select("same", "n", (F.col("_own") + F.row_number().over(order)).alias("place"), "key")
+
+
+def _reach(n: Column, level: int, percent: int) -> Column:
+    """The last place at which the level-th shared shingle of a set of n can lie, if it has a link."""
+    return n - F.ceil(n * percent / 100) + level
+
+
+class _Search:
+    """Links between classes, found bucket by bucket; components grow as links come."""
+
+    def __init__(self, documents: DataFrame, classes: DataFrame, percent: int) -> None:
+        self.documents, self.classes, self.percent = documents, classes, percent
+        self.component: DataFrame | None = None  # node, component of the classes with links
+        self.tested: DataFrame | None = None
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with the component of each class (itself, if it has no link)."""
+        if self.component is None:
+            return rows.withColumn("component", F.col("same"))
+        return rows.join(self.component.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+
+    def mixed(self, left: DataFrame) -> DataFrame | None:
+        """The rows of buckets that hold several components, or None if there are none."""
+        placed = self.placed(left.drop("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        left = written(placed.join(several, "key", "left_semi"), "dup-left")
+        return None if left.isEmpty() else left
+
+    def round(self, left: DataFrame, centres: int) -> DataFrame:
+        """Tests the members of every bucket against its centres (one of each slot, of the smallest component); the rows without centres."""
+        slots = left.withColumn("slot", F.pmod(F.xxhash64("same"), F.lit(centres)))
+        parts = slots.groupBy("key", "slot", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("same", F.col("n").alias("size"))).alias("c"))
+        chosen = parts.groupBy("key", "slot").agg(F.min(F.struct("n", "c", "component")).alias("c")).select("key", F.col("c.c.same").alias("centre"), F.col("c.c.size").alias("size"), F.col("c.component").alias("of"))
+        chosen = _small(chosen, "dup-centres")
+        close = (100 * F.least("n", "size") >= self.percent * F.greatest("n", "size")) & (F.col("component") != F.col("of"))
+        pairs = left.join(chosen, "key").filter(close).select(F.least("centre", "same").alias("u"), F.greatest("centre", "same").alias("v")).distinct()
+        likely = _alike(pairs, self.sketches)
+        if self.tested is not None:
+            likely = likely.join(self.tested, ["u", "v"], "left_anti")
+        likely = written(likely, "dup-likely")
+        self.tested = likely if self.tested is None else self.tested.union(likely)
+        if not likely.isEmpty():
+            self.link(written(_confirmed(likely, self.sets, self.percent), "dup-links"))
+        return left.join(chosen.select("key", F.col("centre").alias("same")), ["key", "same"], "left_anti")
+
+    def link(self, found: DataFrame) -> None:
+        """Joins components by new links: only the components that they touch are joined up anew."""
+        if found.isEmpty():
+            return
+        if self.component is None:
+            self.component = written(components(found), "dup-components")
+            return
+        named = self.placed(found.select(F.col("u").alias("same"), "v")).select(F.col("component").alias("a"), F.col("v").alias("same"))
+        named = self.placed(named).select(F.col("a").alias("u"), F.col("component").alias("v"))
+        merged = written(components(named), "dup-merged")
+        old = self.component.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        fresh = merged.join(self.component.select("node"), "node", "left_anti").select("node", "component")
+        self.component = written(old.union(fresh), "dup-components")
+
+    def run(self, buckets: DataFrame) -> None:
+        left = self.mixed(buckets)
+        if left is None:
+            return
+        met = _small(left.select("same").distinct(), "dup-met")
+        self.sketches = written(self.classes.select("same", "sketch").join(met, "same", "left_semi"), "dup-sketches")
+        self.sets = _full_sets(self.documents, self.classes.select("same", "doc").join(met, "same", "left_semi"))
+        left = self.mixed(self.round(left, 1))
+        if left is None:
+            return
+        own = written(prefixes(self.sets.join(left.select("same").distinct(), "same", "left_semi"), self.percent), "dup-prefixes")
+        level = 1
+        left = own.filter(F.col("place") <= _reach(F.col("n"), 1, self.percent)).select("key", "same", "n", "place")
+        left = self.mixed(left)
+        while left is not None:
+            left = self.mixed(self.round(left, CENTRES))
+            if left is None:
+                return
+            whole = left
+            if left.groupBy("key").count().agg(F.max("count")).first()[0] > SMALL:
+                level += 1
+                left, whole = self.divided(left, own, level)
+            else:
+                left = None
+            self.exhaust(whole)
+            if left is not None:
+                left = self.mixed(left)
+
+    def divided(self, left: DataFrame, own: DataFrame, level: int) -> tuple[DataFrame | None, DataFrame]:
+        """(rows of finer buckets, rows of the buckets that these don't make cheaper: by the squares of their members, halved at least)."""
+        more = own.select("same", F.col("place").alias("_next"), F.col("key").alias("_key"))
+        finer = left.join(more, "same").filter((F.col("_next") > F.col("place")) & (F.col("_next") <= _reach(F.col("n"), level, self.percent)))
+        finer = written(finer.select(F.col("key").alias("of"), F.xxhash64("key", "_key").alias("key"), "same", "n", F.col("_next").alias("place")), "dup-finer")
+        parts = finer.groupBy("of", "key").agg(F.count(F.lit(1)).cast("double").alias("m")).filter("m > 1")
+        whole = left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        cost = whole.join(parts.groupBy(F.col("of").alias("key")).agg(F.sum(F.col("m") * F.col("m")).alias("parts")), "key", "left")
+        cost = written(cost.select("key", (2 * F.coalesce("parts", F.lit(0.0)) <= F.col("m") * F.col("m")).alias("worth")), "dup-cost")
+        worth = _small(cost.filter("worth").select(F.col("key").alias("of")), "dup-worth")
+        down = written(finer.join(worth, "of", "left_semi").drop("of"), "dup-down")
+        rest = written(left.join(_small(cost.filter("NOT worth").select("key"), "dup-whole"), "key", "left_semi"), "dup-rest")
+        return None if down.isEmpty() else down, rest
+
+    def exhaust(self, left: DataFrame) -> None:
+        """Rounds with more and more centres, until every bucket is of one component or has no members left."""
+        centres = 8 * CENTRES
+        rest = self.mixed(left)
+        while rest is not None:
+            rest = self.mixed(self.round(rest, centres))
+            centres *= 2
 
 
 def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of documents.
 
     A text without words (null, empty or white space) has an empty set and no links. Rows with one doc_id and equal texts
-    are one document here and all get its row; with one doc_id and other texts, all their links are its links, and one of
-    the texts stands for it where links are confirmed. A null doc_id has no links, component_id is null and it is kept. Other columns are ignored; an empty table gives an empty result.
+    are one document here and all get its row; with one doc_id and other texts, each text's links are found, and all are
+    links of the doc_id. A null doc_id has no links, component_id is null and it is kept. Other columns are ignored,
+    whatever their names; ties don't matter, as a component has one smallest doc_id; a text of any length is compared as a
+    whole; an empty table gives an empty result.
     """
     rows = written(signed(documents), "dup-signatures")
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    member = written(usable.select("doc_id", "same", "bands", "n").join(classes, "same").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "dup-members")
-    bands = member.filter("doc_id = rep").select(F.col("rep").alias("doc"), "bands").dropDuplicates(["doc"])
-    every = bands.select("doc", F.explode("bands").alias("key"))
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    bucket = written(every.join(shared, "key").select("key", F.col("key").alias("last"), "doc"), "dup-buckets")
-    links: DataFrame | None = None
-    component: DataFrame | None = None
-    tested: DataFrame | None = None
-    sets: DataFrame | None = None
-    left, level, turn = bucket, 1, 0
-    while True:
-        placed = _in_components(left, component).withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 if turn == 0 and level == 1 else CENTRES)))
-        several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        left = written(placed.join(several, "key"), "dup-left")
-        if left.isEmpty():
-            break
-        if sets is None:
-            sets = written(_full_sets(documents, left.select(F.col("doc").alias("doc_id")).distinct()), "dup-sets")
-        turn += 1
-        if turn > ROUNDS + (level == 1) and level < LEVELS:
-            # by bands in ascending order: members that share bands a < b < c meet in the bucket of a, then of a and b, and so on
-            finer = left.select("key", "last", "doc").join(bands, "doc").select("key", "last", "doc", F.explode("bands").alias("band")).filter("band > last").select(F.xxhash64("key", "band").alias("key"), F.col("band").alias("last"), "doc")
-            several = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-            left = written(finer.join(several, "key"), "dup-finer")
-            level, turn = level + 1, 0
-            continue
-        parts = left.groupBy("key", "slot", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
-        centres = written(parts.groupBy("key", "slot").agg(F.min(F.struct("n", "doc", "component")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.component").alias("of")), "dup-centres")
-        pairs = left.join(centres, "key").filter("component <> of").select(F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "dup-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(_confirmed(pairs, sets, percent), "dup-links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            component = written(components(links), "dup-components")
-        left = left.join(centres.select("key", F.col("centre").alias("doc")), ["key", "doc"], "left_anti").select("key", "last", "doc")
-    named = member.select("doc_id", "rep")
-    if component is not None:
-        named = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    named = usable.select("doc_id", "same")
+    least = written(named.groupBy("same").agg(F.min("doc_id").alias("doc")), "dup-classes")
+    # one row stands for a class: that of its smallest doc_id
+    others = named.join(least, "same").filter("doc_id <> doc").select("doc_id", "same")
+    classes = usable.join(_small(others, "dup-others"), ["doc_id", "same"], "left_anti").withColumnRenamed("doc_id", "doc")
+    every = classes.select("same", "n", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    search = _Search(documents, classes, percent)
+    search.run(written(every.join(_small(shared, "dup-shared"), "key").select("key", "same", "n"), "dup-buckets"))
+    if search.component is not None:
+        label = search.placed(least.withColumnRenamed("doc", "_doc"))
     else:
-        named = named.select("doc_id", F.col("rep").alias("component_id"))
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        label = least.select("same", F.col("doc").alias("_doc"), F.col("same").alias("component"))
+    # a doc_id with several texts joins their components
+    several = named.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    several = written(named.distinct().join(_small(several, "dup-texts"), "doc_id").join(label.select("same", "component"), "same").select("doc_id", "component"), "dup-texts")
+    if not several.isEmpty():
+        stars = several.join(several.groupBy("doc_id").agg(F.min("component").alias("v")), "doc_id").select(F.col("component").alias("u"), "v")
+        label = label.join(components(stars).select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("same", "_doc", F.coalesce("_c", "component").alias("component"))
+    first = label.groupBy("component").agg(F.min("_doc").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    label = written(label.join(first.filter("_n > 1"), "component", "left").select("same", F.coalesce("component_id", "_doc").alias("component_id")), "dup-labels")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(label, "same", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -220,17 +220,70 @@ def test_groups_against_brute_force(spark, edge):
     assert got == brute_groups(docs)
 
 
-def test_hot_bucket_is_divided_without_losing_links(spark, monkeypatch, edge):
-    """Rounds of one centre only, so that division by further bands has to do the work."""
-    monkeypatch.setattr(near_dups, "ROUNDS", 0)
+def test_hot_bucket_is_divided_without_losing_links(spark, monkeypatch):
+    """Rounds of one centre only, so that division by shared prefixes, level after level, has to do the work."""
     monkeypatch.setattr(near_dups, "CENTRES", 1)
+    monkeypatch.setattr(near_dups, "SMALL", 8)
     passage = [f"p{i}" for i in range(60)]
     rows = [" ".join(passage + [f"u{k // 2}{j}" for j in range(12)] + [f"v{k}"]) for k in range(40)]
+    rows += [" ".join(passage + [f"w{k // 8}{j}" for j in range(16)] + [f"x{k // 2}{j}" for j in range(5)] + [f"y{k}"]) for k in range(40)]
     docs = list(enumerate(rows))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.groups(spark.createDataFrame(rows_of(docs), DOCS)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.groups(spark.createDataFrame(docs, DOCS.split(", lang")[0])).collect()}
     assert got == brute_groups(docs)
 
 
+def test_thousands_of_texts_that_share_a_passage(spark, monkeypatch):
+    """1,500 texts in one bucket, most pairs at 0.5 to 0.69, and 150 links of 0.7 to 0.75 among them: none is lost, at whatever level."""
+    rests = []
+    exhaust = near_dups._Search.exhaust
+    monkeypatch.setattr(near_dups._Search, "exhaust", lambda self, left: rests.append(left.count()) or exhaust(self, left))
+    monkeypatch.setattr(near_dups, "CENTRES", 1)
+    monkeypatch.setattr(near_dups, "SMALL", 8)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for k in range(1500):
+        if k % 10 == 1:  # 70 to 75 % of the one before it
+            first = rows[-1].split()
+            rows.append(" ".join(first[: -10 - k % 3] + [f"z{k}{j}" for j in range(10 + k % 3)]))
+        else:
+            rows.append(" ".join(passage + [f"s{k % 7}{j}" for j in range(6)] + [f"u{k}{j}" for j in range(30)]))
+    docs = list(enumerate(rows))
+    sets = [set(zip(*(r.split()[j:] for j in range(5)))) for r in rows]
+    linked = [k for k in range(1, 1500, 10) if 100 * len(sets[k] & sets[k - 1]) >= 70 * len(sets[k] | sets[k - 1])]
+    assert len(linked) == 150
+    assert all(100 * len(sets[a] & sets[b]) < 70 * len(sets[a] | sets[b]) for a, b in [(0, 7), (0, 14), (2, 9), (20, 27)])
+    got = {r.doc_id: r.component_id for r in near_dups.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == k - 1 for k in linked)
+    assert sum(k == v for k, v in got.items()) == 1350
+    assert sum(rests) > 1000  # the last resort was reached
+
+
+def test_repeated_ids_with_other_texts_keep_all_their_links(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " end"), (7, a + " end"), (9, c), (9, c), (None, a), (11, c + " end")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dups.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (7, 3, False), (9, 9, True), (11, 9, False), (None, None, True)}
+
+
+def test_components_in_the_driver_and_in_joins(spark):
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in zip(r.integers(0, 300, 200), r.integers(0, 300, 200))] + [(1000 + i, 1001 + i) for i in range(30)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (0, 1000):
+        assert {r.node: r.component for r in near_dups.components(df, most).collect()} == want
+
+
 # ---- 4 and 8: spans ----------------------------------------------------------
 
 
