@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target of words; a whole number of copies of each of its documents is certain,
-and what is left of the target is filled by Pareto order sampling: documents are ranked by
-(u / (1 - u)) / (p / (1 - p)), u a fixed uniform number of the document and p its inclusion
-probability, and taken from the smallest on until the words left are reached.
-
-The ranking never puts a source into one task: documents fall into buckets of their rank, sized so
-that one holds about ROWS_A_BUCKET rows whatever the size of the source; running totals are made over
-bucket totals, and only the bucket where the target is crossed is ordered row by row.
+Every source gets a target of words; a whole number of copies of each of its documents is certain, and what is left of
+the target is filled by Pareto order sampling with unequal inclusion odds. A document's chance p of one more copy is in
+proportion to the binary digits of its size, so longer documents are likelier to be taken: p = min(1, c * digits), with c
+so that the expected words of a source are the words left; those with p = 1 are certain. The others are ranked by
+(u / (1 - u)) / (p / (1 - p)), u a fixed uniform number of the document, and taken from the smallest on until the words
+left are reached.
+
+c has a closed form over at most 64 classes of digits, so the words are summed by source and class first. The ranking never
+puts a source into one task: documents fall into buckets of their rank, sized so that one holds about ROWS_A_BUCKET rows
+whatever the size of the source; running totals are made over bucket totals, and only the bucket where the target is
+crossed is ordered row by row.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ SHARE = (3, 2)  # all targets are 3/2 of all sizes
 MOST = 2
 ROWS_A_BUCKET = 4096
 U_BITS = 52
+MOST_BROADCAST = 1_000_000
 
 
 def uniform(doc_id: Column) -> Column:
@@ -59,48 +63,69 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken, odds: one row per row of documents.
+def chances(classes: DataFrame) -> DataFrame:
+    """(source, digits, words, rest) -> with sure (documents of that class are certain), c and left (words to sample) of the source.
 
-    documents needs doc_id, text and source; other columns are ignored. A null text has size 0 and is
-    taken 0 times its words; a null source is a source of its own. Rows with one doc_id share a rank and
-    are ordered by size. An empty table gives an empty result. If no document has a word, nothing is taken.
+    From the longest class down, a class is certain if c, reckoned with all longer ones certain, would make p 1 or more.
     """
+    above = Window.partitionBy("source").orderBy(F.desc("digits")).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = (
+        classes.withColumn("_left", F.col("rest") - F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double"))
+        .withColumn("_points", F.sum(F.col("words") * F.col("digits")).over(down).cast("double"))
+        .withColumn("sure", (F.col("rest") > 0) & (F.col("_left") * F.col("digits") >= F.col("_points")))
+    )
+    first = F.max(F.when(~F.col("sure"), F.struct("digits", "_left", "_points"))).over(Window.partitionBy("source"))
+    return s.withColumn("_first", first).select("source", "digits", "sure", F.try_divide("_first._left", "_first._points").alias("c"), F.col("_first._left").alias("left"))
+
+
+def mix(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken, p, odds (by which rows are ranked): one row per row of documents.
+
+    documents needs doc_id, text and source; a column `key` comes along if it is named, other columns are ignored, whatever
+    their names. A null text has size 0 and takes 0 words; a null source is a source
+    of its own. Rows with one doc_id share u and, where sizes are equal, a rank; a null doc_id has the u of an empty id. Texts
+    of any length are counted whole. An empty table gives an empty result. If no document has a word, nothing is taken.
+    """
+    kept = [F.col(key).alias("_key")] if key else []
     rows = written(
-        documents.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("u", uniform(F.col("doc_id"))),
+        documents.select(*kept, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("u", uniform(F.col("doc_id"))).withColumn("digits", F.length(F.bin("size"))),
         "mix-sizes",
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
-    planned = targets(sources.select("source", "source_size"))
-    p = planned.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     n = rows.count()
+    classes = written(rows.groupBy("source", "digits").agg(F.sum("size").alias("words")), "mix-classes")  # 64 rows a source at most
+    planned = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
+    planned = planned.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    joined = classes.join(planned.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    of = chances(joined.select("source", "digits", "words", "rest")).select(F.col("source").alias("_s"), F.col("digits").alias("_d"), "sure", "c", "left")
+    plan = written(joined.join(of, F.col("source").eqNullSafe(F.col("_s")) & (F.col("digits") == F.col("_d"))).select(F.col("source").alias("_source"), F.col("digits").alias("_digits"), "source_size", "target", "whole", "rest", "sure", "c", "left"), "mix-plan")
+    if plan.count() <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
+    x = F.col("u") / F.lit(float(1 << U_BITS))
+    p = F.when((F.col("rest") > 0) & ~F.col("sure"), F.col("c") * F.col("digits"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digits") == F.col("_digits"))).withColumn("p", p)
+    rows = rows.withColumn("odds", F.when(F.col("p") > 0, F.try_divide(x / (1 - x), F.try_divide(F.col("p"), 1 - F.col("p")))))
     bits = max(0, min(40, math.ceil(math.log2(max(1, n) / ROWS_A_BUCKET))))
-    rows = rows.withColumn("bucket", F.shiftright("u", U_BITS - bits))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("_words"))
+    place = F.floor(F.col("odds") / (1 + F.col("odds")) * F.lit(float(1 << bits))).cast("long")
+    rows = rows.withColumn("bucket", F.when(F.col("odds").isNotNull(), place))
+    out = ["doc_id", "size", "source", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies"), ((F.col("whole") + F.col("more").cast("long")) * F.col("size")).alias("taken"), F.when((F.col("rest") > 0) & F.col("sure"), F.lit(1.0)).otherwise(F.coalesce("p", F.lit(0.0))).alias("p"), "odds"]
+    out = ["_key", *out] if key else out
+    settled = rows.filter("odds IS NULL").withColumn("more", (F.col("rest") > 0) & F.col("sure"))
+    ranked = rows.filter("odds IS NOT NULL")
+    totals = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("_words"), F.max("left").alias("left"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        totals.withColumn("_base", F.coalesce(F.sum("_words").over(up_to), F.lit(0)))
-        .join(p.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "_base", "_words", "source_size", "target", "whole", "rest")
-    )
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    crossing = (F.col("_base") <= F.col("rest")) & (F.col("_base") + F.col("_words") > F.col("rest")) & (F.col("rest") > 0)
-    within = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sure = joined.filter(~crossing).withColumn("more", (F.col("rest") > 0) & (F.col("_base") + F.col("_words") <= F.col("rest")))
-    ranked = joined.filter(crossing).withColumn("more", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
-    chance = F.col("rest") / F.col("source_size")
-    x = F.col("u") / F.lit(float(1 << U_BITS))
-    done = sure.unionByName(ranked)
-    return done.select(
-        "doc_id",
-        "size",
-        "source",
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("more").cast("long")).alias("copies"),
-        ((F.col("whole") + F.col("more").cast("long")) * F.col("size")).alias("taken"),
-        F.when((F.col("rest") > 0) & (F.col("rest") < F.col("source_size")), (x / (1 - x)) / (chance / (1 - chance))).alias("odds"),
-    )
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_words").over(up_to), F.lit(0))).withColumn("_crossing", (F.col("_base") <= F.col("left")) & (F.col("_base") + F.col("_words") > F.col("left")))
+    totals = totals.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "_base", "_words", "_crossing")
+    crossed = written(totals.filter("_crossing"), "mix-crossed")  # one row a source at most
+    edge = crossed.select("_s", "_b", "_base")
+    if edge.count() <= MOST_BROADCAST:
+        edge = F.broadcast(edge)
+    near = ranked.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left")
+    # without a crossing bucket all of a source's ranked documents fit
+    sure = near.filter(F.col("_b").isNull() | (F.col("bucket") != F.col("_b"))).withColumn("more", F.col("_b").isNull() | (F.col("bucket") < F.col("_b")))
+    within = Window.partitionBy("source").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within_crossing = near.filter(F.col("bucket") == F.col("_b")).withColumn("more", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2 <= F.col("left"))
+    return settled.select(*out).unionByName(sure.select(*out)).unionByName(within_crossing.select(*out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -129,11 +154,29 @@ t AS (
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(least(2, floor(target / source_size)) AS BIGINT) ELSE 0 END AS whole FROM t),
 q AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM p),
+b AS (SELECT source, length(bin(size)) AS digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+k AS (
+  SELECT b.*, q.rest,
+         q.rest - CAST(coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS lft,
+         CAST(sum(words * digits) OVER (PARTITION BY b.source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS points
+  FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source),
+m AS (SELECT *, rest > 0 AND lft * digits >= points AS sure FROM k),
+o AS (SELECT source, max(digits) AS top FROM m WHERE NOT sure GROUP BY source),
+g AS (
+  SELECT m.source, m.digits, m.sure, z.lft / z.points AS c, z.lft
+  FROM m LEFT JOIN o ON m.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN m z ON z.source IS NOT DISTINCT FROM m.source AND z.digits = o.top),
+i AS (
+  SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.whole, q.rest, g.sure, g.lft,
+         CASE WHEN q.rest > 0 AND NOT g.sure THEN g.c * g.digits END AS p,
+         d.u / CAST(4503599627370496 AS DOUBLE) AS x
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  JOIN g ON d.source IS NOT DISTINCT FROM g.source AND length(bin(d.size)) = g.digits),
+j AS (SELECT *, CASE WHEN p > 0 THEN (x / (1 - x)) / (p / (1 - p)) END AS odds FROM i),
 r AS (
-  SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+  SELECT *, coalesce(sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM j)
 SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN rest > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((whole + CASE WHEN odds IS NULL THEN CAST(rest > 0 AND sure AS INT) WHEN before + size / 2 <= lft THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r
 """

@@ -253,15 +253,20 @@ class Slice:
         return out
 
 
-def _chunked(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, text, chunk. A chunk is a run of CHUNK_ROWS rows of a file; documents that aren't read from files are written first."""
+def _chunked(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """key (null without a column of that name), doc_id, lang, text, chunk.
+
+    A chunk is a run of CHUNK_ROWS rows of a file; documents that aren't read from files are written first.
+    """
+    key = F.col(key) if key else F.lit(None)
+
     def columns(df: DataFrame) -> DataFrame:
-        return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / CHUNK_ROWS)).alias("chunk"))
+        return df.select(key.cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / CHUNK_ROWS)).alias("chunk"))
 
     try:
         return columns(documents)
     except AnalysisException:
-        return columns(written(documents.select("doc_id", "lang", "text"), "kn-documents"))
+        return columns(written(documents, "kn-documents"))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -320,10 +325,10 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(now, parts)
 
 
-def score(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, n_chars, n_words, mean_log (null where there is no character or no model of the language), one row per row."""
+def score(documents: DataFrame, model: DataFrame, key: str | None = None) -> DataFrame:
+    """key, doc_id, lang, n_chars, n_words, mean_log (null where there is no character or no model of the language), one row per row."""
     spark = documents.sparkSession
-    rows = _chunked(documents)
+    rows = _chunked(documents, key)
     folder = fresh_path(spark, "kn-slices")
     wanted = rows.select("lang", "text", "chunk").mapInArrow(_chunk_keys, "chunk long, key long")
     # both halves of a chunk that two tasks read list its grams: partitioned by key, they become one row without another shuffle
@@ -377,10 +382,10 @@ def score(documents: DataFrame, model: DataFrame) -> DataFrame:
                         mean = np.bincount(row, logs, n) / count
                     words = np.bincount(words_of(raw, off)[2], minlength=n)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("doc_id").slice(first, n), some.column("lang").slice(first, n), pa.array(count.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(mean, pa.float64(), from_pandas=True)], names=["doc_id", "lang", "n_chars", "n_words", "mean_log"]
+                        [some.column("key").slice(first, n), some.column("doc_id").slice(first, n), some.column("lang").slice(first, n), pa.array(count.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(mean, pa.float64(), from_pandas=True)], names=["key", "doc_id", "lang", "n_chars", "n_words", "mean_log"]
                     )
 
-    return rows.mapInArrow(run, "doc_id long, lang string, n_chars long, n_words long, mean_log double")
+    return rows.mapInArrow(run, "key long, doc_id long, lang string, n_chars long, n_words long, mean_log double")
 
 
 def _load(folder: str, chunk: int) -> Slice:
@@ -398,12 +403,15 @@ def _load(folder: str, chunk: int) -> Slice:
 # ---- the classifier ----------------------------------------------------------
 
 
-def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity (a character), threshold (of the language), kept: one row per row of documents.
+def classify(documents: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, lang, perplexity (a character), threshold (of the language), kept: one row per row of documents (key, if named, first).
 
     Trusted documents are those that labels call quality 1 (of several labels of one doc_id, the largest). A text without
-    words isn't kept. A document is kept if its language has no trusted text to judge it by. A null language is a language
-    of its own (shown as an empty string); a null doc_id is scored but never trusted. An empty table gives an empty result.
+    words isn't kept. Where none of a language's trusted documents is held out, its threshold is that of all languages'
+    held-out documents; where there is no trusted text of the language, or none is held out at all, its documents are kept. A null
+    language is a language of its own (shown as an empty string); a null doc_id is scored but never trusted. Rows with one
+    doc_id are each judged by their own text, and are all trusted or none. Equal texts of one language get equal results.
+    Texts of any length are scored whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     trusted = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1").select("doc_id")
     n = trusted.count()
@@ -411,13 +419,19 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     model = written(train(text.join(small(trusted.filter(~held)), "doc_id", "left_semi").select("lang", "text")), "kn-model")
-    scores = written(score(documents, model), "kn-scores")
+    scores = written(score(documents, model, key), "kn-scores")
     loss = -F.col("mean_log") - SHORT / F.sqrt("n_chars")
     judged = scores.withColumn("loss", loss)
-    thresholds = judged.filter("mean_log IS NOT NULL AND n_words > 0").join(small(trusted.filter(held)), "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("loss", F.lit(QUANTILE), F.lit(100_000)).alias("limit"))
-    out = judged.join(F.broadcast(thresholds), "lang", "left")  # one row per language
+    outside = judged.filter("mean_log IS NOT NULL AND n_words > 0").join(small(trusted.filter(held)), "doc_id", "left_semi")
+    quantile = F.percentile_approx("loss", F.lit(QUANTILE), F.lit(100_000))
+    thresholds = written(outside.groupBy("lang").agg(quantile.alias("limit")), "kn-limits")
+    if thresholds.count() <= MOST_BROADCAST:
+        thresholds = F.broadcast(thresholds)
+    overall = outside.agg(quantile).first()[0]
+    out = judged.join(thresholds, "lang", "left").withColumn("limit", F.coalesce("limit", F.when(F.col("mean_log").isNotNull(), F.lit(overall).cast("double"))))
     keep = (F.col("n_words") > 0) & (F.col("limit").isNull() | F.coalesce(F.col("loss") <= F.col("limit") + ROOM, F.lit(True)))
-    return out.select("doc_id", "lang", F.exp(-F.col("mean_log")).alias("perplexity"), F.exp(F.col("limit") + ROOM).alias("threshold"), keep.alias("kept"))
+    named = [F.col("key").alias(key)] if key else []
+    return out.select(*named, "doc_id", "lang", F.exp(-F.col("mean_log")).alias("perplexity"), F.exp(F.col("limit") + ROOM).alias("threshold"), keep.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

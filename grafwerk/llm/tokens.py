@@ -14,6 +14,7 @@ its place, count and plane lengths); its length and place. Shards follow one ano
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -113,7 +114,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = True  # for pretokens; rows with the string of an added token go through the library as it comes
         size = self.library.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.uint16 if self.width == 2 else np.uint32
@@ -169,10 +171,15 @@ class Encoder:
         at += np.arange(len(at))
         ids = self.pool[at]
         counts = np.bincount(row, count, n).astype(np.int64)
+        data = raw.tobytes()
+        places = [m.start() for t in self.added for m in re.finditer(re.escape(t), data)]
+        if places:
+            odd = np.union1d(odd, np.searchsorted(off, places, "right") - 1)
         if len(odd):
             edges = np.concatenate([[0], np.cumsum(counts)])
-            data = raw.tobytes()
+            self.library.encode_special_tokens = False
             whole = self.library.encode_batch_fast([data[off[r] : off[r + 1]].decode() for r in odd], add_special_tokens=False)
+            self.library.encode_special_tokens = True
             parts, done = [], 0
             for r, e in zip(odd.tolist(), whole):
                 parts += [ids[edges[done] : edges[r]], np.array(e.ids, self.dtype)]
