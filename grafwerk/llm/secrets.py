@@ -39,6 +39,45 @@ class Rule:
     pattern: str
     accept: Callable[[re.Match], bool] = field(default=lambda m: True)
     base: bool = False
+    #: the pattern's matches in linear time, where the expression alone would try a run of characters from each of its places
+    find: Callable[[bytes], Iterator[tuple[int, int]]] | None = None
+
+
+_SCHEME = re.compile(rb"[a-z]")
+_LOGIN = re.compile(rb"://[^\x00-\x20:@/]+:[^\x00-\x20:@/]{4,}@")
+_TOKEN = re.compile(rb"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+_SCHEME_RUN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_TOKEN_RUN = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+
+
+def _back(text: bytes, at: int, done: int, run: frozenset[int]) -> int:
+    while at > done and text[at - 1] in run:
+        at -= 1
+    return at
+
+
+def _logins(text: bytes) -> Iterator[tuple[int, int]]:
+    """From each :// backwards: all starts in the run before it have the same end, so the first letter of the run is the match's."""
+    done, at = 0, text.find(b"://")
+    while at >= 0:
+        m = _LOGIN.match(text, at)
+        start = m and _SCHEME.search(text, _back(text, at, done, _SCHEME_RUN), at)
+        if start:
+            yield start.start(), m.end()
+            done = m.end()
+        at = text.find(b"://", max(done, at + 1))
+
+
+def _tokens(text: bytes) -> Iterator[tuple[int, int]]:
+    """From each .eyJ backwards, likewise."""
+    done, at = 0, text.find(b".eyJ")
+    while at >= 0:
+        m = _TOKEN.match(text, at)
+        start = text.find(b"eyJ", _back(text, at, done, _TOKEN_RUN), at) if m else -1
+        if start >= 0 and at - start >= 11:
+            yield start, m.end()
+            done = m.end()
+        at = text.find(b".eyJ", max(done, at + 1))
 
 
 _assign = "(" + "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
@@ -51,9 +90,9 @@ RULES = [
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", find=_tokens),
     Rule("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)", lambda m: _entropy(m[1]) >= 3),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20:@/]+:([^\x00-\x20:@/]{4,})@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20:@/]+:([^\x00-\x20:@/]{4,})@", find=_logins),
 ]
 KINDS = [r.kind for r in RULES]
 
@@ -249,10 +288,15 @@ class Scanner:
                     found.setdefault(row, []).append(("hex", a, b))
                 continue
             for row in index.answer(query).tolist():
-                # finditer over a slice, so that no match reaches beyond the text
-                for m in expression.finditer(data[off[row] : off[row + 1]]):
+                # over a slice, so that no match reaches beyond the text
+                text = data[off[row] : off[row + 1]]
+                if rule.find is not None:
+                    found.setdefault(row, []).extend((rule.kind, a, b) for a, b in rule.find(text))
+                    continue
+                for m in expression.finditer(text):
                     if rule.accept(m):
                         found.setdefault(row, []).append((rule.kind, m.start(), m.end()))
+        found = {row: spans for row, spans in found.items() if spans}
         for row, spans in found.items():
             text = data[off[row] : off[row + 1]]
             if not text.isascii():

@@ -1,6 +1,6 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
-Reading. Archives are cut into splits. A task finds in its split every place that looks like the head of a
+Reading. Archives are cut into splits, of SPLIT_BYTES or a quarter of the file, whichever is less. A task finds in its split every place that looks like the head of a
 record (also inside payloads) and follows each one's successors to the first beyond the split: candidate
 offset -> exit offset. Pointer jumping over these hops, from offset 0 of each file, doubles the distance each
 round and so finds, in log2(splits of a file) rounds, the places where the true chain enters each split.
@@ -127,14 +127,68 @@ def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     return fields, end + 4, end + 4 + int(length) + 4
 
 
-def hops_of_split(data: bytes, start: int, length: int, size: int) -> list[tuple[int, int]]:
-    """Candidates in data (of a split at start, with what follows it for heads that cross its end): (offset, exit offset)."""
-    after, at = {}, data.find(MAGIC)
-    while 0 <= at < length:
-        if (found := parse_head(data, at)) and start + found[2] <= size:
-            after[start + at] = start + found[2]
-        at = data.find(MAGIC, at + 1)
-    exits = {}
+def candidates(data: bytes, length: int) -> tuple[list[tuple[int, int]], int | None]:
+    """((offset, start of the next record) of every head that begins in data[:length], the first that data may end too early for, or None).
+
+    Linear in data, whatever it holds: the lines before a blank line are looked at once, from the last one up, for all heads
+    that end with it.
+    """
+    found: list[tuple[int, int]] = []
+    at = data.find(MAGIC, 0, length + len(MAGIC) - 1)
+    while at >= 0:
+        begin = at + len(MAGIC)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            # no blank line yet: a head only if all whole lines so far have a colon
+            bad = _last_bad(data, begin)
+            while at >= 0 and at + len(MAGIC) <= bad:
+                at = data.find(MAGIC, at + 1, length + len(MAGIC) - 1)
+            return found, at if at >= 0 else None
+        bad, size, kind, value = -1, -1, -1, 0
+        place = end
+        for line in reversed(data[begin:end].split(b"\r\n")):
+            place -= len(line)
+            name, colon, rest = line.partition(b":")
+            if not colon:
+                bad = place
+                break
+            name = name.strip().lower()
+            if name == b"content-length" and size < 0:
+                size, value = place, int(rest) if rest.strip().isdigit() else -1
+            if name == b"warc-type" and kind < 0:
+                kind = place
+            place -= 2
+        while 0 <= at <= end:
+            if at < length and at + len(MAGIC) > bad and size >= at + len(MAGIC) and kind >= at + len(MAGIC) and value >= 0:
+                found.append((at, end + 4 + value + 4))
+            at = data.find(MAGIC, at + 1, length + len(MAGIC) - 1)
+    return found, None
+
+
+def _last_bad(data: bytes, begin: int) -> int:
+    """Where the last whole line without a colon from begin on starts, or -1."""
+    place, last = begin, -1
+    for line in data[begin:].split(b"\r\n")[:-1]:
+        if b":" not in line:
+            last = place
+        place += len(line) + 2
+    return last
+
+
+def hops_of_split(read, start: int, length: int, size: int) -> list[tuple[int, int]]:
+    """Candidates of the split at start: (offset, exit offset). read(offset, n) gives the file's bytes.
+
+    What follows the split is read as far as a head that crosses its end needs.
+    """
+    more = HEAD_BYTES
+    data = read(start, length + more)
+    found, open_at = candidates(data, length)
+    while open_at is not None and start + len(data) < size:
+        more *= 4
+        data = read(start, length + more)
+        found, open_at = candidates(data, length)
+    after = {start + a: start + b for a, b in found if start + b <= size}
+    exits: dict[int, int] = {}
     for offset in sorted(after, reverse=True):  # successors lie behind, so their exits are known
         to = after[offset]
         exits[offset] = exits.get(to, to) if to < start + length else to
@@ -145,14 +199,15 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     """One row per record on the chains from the starts of the files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload_matches.
 
     payload_matches says whether a response's payload has the digest and length that its head gives (true for revisits).
-    A chain that meets something other than a record before the end of its file raises.
+    Heads and payloads may be of any length. A null url comes back as urn:unknown, a null page_id as null. A chain that meets
+    something other than a record before the end of its file raises. No files, no rows.
     """
-    splits = manifest.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split_bytes))).alias("start"))
-    most = manifest.agg(F.max("size"), F.count(F.lit(1)), F.sum("size")).first()
+    files = manifest.filter("size > 0").withColumn("split", F.least(F.lit(split_bytes), F.greatest(F.lit(1024), F.ceil(F.col("size") / 4))).cast("long"))
+    splits = files.select("path", "size", "split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.col("split"))).alias("start"))
+    most = files.agg(F.max(F.ceil(F.col("size") / F.col("split"))), F.sum(F.ceil(F.col("size") / F.col("split")))).first()
+    per_file, tasks = int(most[0] or 1), int(most[1] or 1)
     if not most[1]:
         splits = splits.limit(0)
-    per_file = math.ceil((most[0] or 0) / split_bytes)
-    tasks = int(most[1] + (most[2] or 0) // split_bytes) or 1
     spread = lambda df: df.repartition(tasks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,23 +215,24 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
             for row in batch.to_pylist():
                 fs, local = filesystem(row["path"])
                 with fs.open_input_file(local) as f:
-                    f.seek(row["start"])
-                    found = hops_of_split(f.read(split_bytes + HEAD_BYTES), row["start"], split_bytes, row["size"])
+
+                    def read(offset: int, n: int) -> bytes:
+                        f.seek(offset)
+                        return f.read(n)
+
+                    found = hops_of_split(read, row["start"], row["split"], row["size"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(found), pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["path", "at", "to"])
 
-    entered = manifest.filter("size > 0").select("path", F.lit(0).cast("long").alias("at"))
-    if per_file > 1:
-        hops = written(spread(splits).mapInArrow(scan, "path string, at long, to long"), "warc-hops")
-        targets = hops.select("path", F.col("to").alias("at")).union(entered).distinct()
-        jumps = written(hops.join(targets, ["path", "at"], "left_semi"), "warc-jumps")
-        for _ in range(math.ceil(math.log2(per_file))):
-            ahead = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("_next"))
-            step = entered.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
-            entered = written(entered.union(step).distinct(), "warc-entered")
-            jumps = written(jumps.join(ahead, ["path", "to"]).select("path", "at", F.col("_next").alias("to")), "warc-jumps")
-    else:
-        hops = None
-    entries = entered.join(manifest, "path").filter("at < size").withColumn("end", F.least(F.col("size"), (F.floor(F.col("at") / split_bytes) + 1) * split_bytes))
+    entered = files.select("path", F.lit(0).cast("long").alias("at"))
+    hops = written(spread(splits).mapInArrow(scan, "path string, at long, to long"), "warc-hops")
+    targets = hops.select("path", F.col("to").alias("at")).union(entered).distinct()
+    jumps = written(hops.join(targets, ["path", "at"], "left_semi"), "warc-jumps")
+    for _ in range(math.ceil(math.log2(per_file)) if per_file > 1 else 0):
+        ahead = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("_next"))
+        step = entered.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
+        entered = written(entered.union(step).distinct(), "warc-entered")
+        jumps = written(jumps.join(ahead, ["path", "to"]).select("path", "at", F.col("_next").alias("to")), "warc-jumps")
+    entries = entered.join(files, "path").filter("at < size").withColumn("end", F.least(F.col("size"), (F.floor(F.col("at") / F.col("split")) + 1) * F.col("split")))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +246,14 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                     while at < row["end"]:
                         found = parse_head(data, at - base)
                         if not found or base + found[2] > base + len(data):  # its head or block goes beyond what was read
-                            f.seek(at)
-                            data, base = f.read(min(HEAD_BYTES, row["size"] - at)), at
-                            if not (found := parse_head(data, 0)) or at + found[2] > row["size"]:
+                            n = HEAD_BYTES
+                            while True:
+                                f.seek(at)
+                                data, base = f.read(min(n, row["size"] - at)), at
+                                if (found := parse_head(data, 0)) or at + n >= row["size"] or not data.startswith(MAGIC):
+                                    break
+                                n *= 4
+                            if not found or at + found[2] > row["size"]:
                                 raise ValueError(f"{row['path']}: no record at {at}")
                             f.seek(at)
                             data = f.read(found[2])
