@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The words of every operator are maximal runs of bytes outside this set.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ whose share is, takes that run's term: so inflected forms share statistics, and
 words are their own terms. What is counted over all documents is summed in each task first:
 
 1. of labelled training documents: those that hold a word or a run of letters, by label. Terms that lean to toxic ones
-   by LEAST_Z or more are the toxic seeds
+   by LEAST_Z deviations and LEAST_ODDS or more are the toxic seeds
 2. occurrences of every term, and pairs of a toxic seed and any term within SPAN words. Nodes of the graph are the toxic seeds
    and the terms tied to one (LEAST_PAIRS pairs, SHIFT of mutual information, TIED_Z deviations above chance); those of
    them that labelled documents show leaning to clean ones are the neutral seeds
@@ -37,10 +37,12 @@ from .common import mix, span_hashes, text_chunks, written
 
 GRAM = 4
 SPAN = 4
+PIECE = 1 << 18  # bytes of text at a time; the arrays of a piece are 8 times as long, and some ten live at once
 LABELLED = 50_000
 MOST_BROADCAST = 2_000_000  # terms sent to tasks
 MOST_HELD = 1_000_000  # edges walked over in the driver
 LEAST_Z = 5.0
+LEAST_ODDS = 2.0, 3.0  # natural log: of a word, of a run of letters (which stands in other words too)
 LEAST_PAIRS = 4
 TIED_Z = 4.0
 SHIFT = 1.0  # natural log: pairs three times as often as by chance
@@ -209,7 +211,7 @@ def leanings(documents: DataFrame, labels: dict[int, int]) -> DataFrame:
             if not len(some):
                 continue
             label = label[some]
-            for first, _, raw, off in text_chunks(_lowered(batch.column(1).take(pa.array(some)))):
+            for first, _, raw, off in text_chunks(_lowered(batch.column(1).take(pa.array(some))), PIECE):
                 h, row, s, e, cp = words(raw, off)
                 g, of = grams(s, e, cp)
                 for hashes, rows, is_word in ((h, row, 1), (g, row[of], 0)):
@@ -237,7 +239,7 @@ def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
 
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
+            for _, _, raw, off in text_chunks(_lowered(batch.column(1)), PIECE):
                 h, row = terms.of(raw, off)
                 u, n = np.unique(h, return_counts=True)
                 if single.add(u, n[:, None]):
@@ -271,7 +273,7 @@ def pair_counts(documents: DataFrame, terms: Terms, one: np.ndarray | None, othe
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
 
         for batch in batches:
-            for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
+            for _, _, raw, off in text_chunks(_lowered(batch.column(1)), PIECE):
                 h, row = terms.of(raw, off)
                 at = np.arange(len(h)) if one is None else np.flatnonzero(_within(h, one))
                 for step in range(1, SPAN + 1):
@@ -316,7 +318,7 @@ def node_pairs(documents: DataFrame, terms: Terms, nodes: np.ndarray, least: int
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         for batch in batches:
-            for _, _, raw, off in text_chunks(_lowered(batch.column(1))):
+            for _, _, raw, off in text_chunks(_lowered(batch.column(1)), PIECE):
                 h, row = terms.of(raw, off)
                 at = np.minimum(np.searchsorted(nodes, h), max(0, len(nodes) - 1))
                 on = nodes[at] == h if len(nodes) else np.zeros(len(h), bool)
@@ -488,7 +490,7 @@ def seeds(documents: DataFrame, labels: dict[int, int]) -> tuple[DataFrame, Term
     n_toxic, n_clean = sum(labels.values()), sum(1 - v for v in labels.values())
     if not n_toxic or not n_clean:
         return None
-    lean = written(_leaning(leanings(documents, labels), n_toxic, n_clean).withColumn("hot", (F.col("lean") >= LEAST_Z) & (F.col("odds") >= 1)), "toxicity-terms")
+    lean = written(_leaning(leanings(documents, labels), n_toxic, n_clean).withColumn("hot", (F.col("lean") >= LEAST_Z) & (F.col("odds") >= F.when(F.col("is_word"), LEAST_ODDS[0]).otherwise(LEAST_ODDS[1]))), "toxicity-terms")
     hot = lean.filter("hot").select("term", "lean").toArrow()  # of at most LABELLED documents, and only those that lean
     if not len(hot):
         return None
@@ -535,7 +537,7 @@ def _measure(raw: np.ndarray, off: np.ndarray, terms: Terms, lexicon: np.ndarray
 def measured(documents: DataFrame, terms: Terms, lexicon: np.ndarray, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, raw, off in text_chunks(_lowered(batch.column(1))):
+            for first, end, raw, off in text_chunks(_lowered(batch.column(1)), PIECE):
                 x = _measure(raw, off, terms, lexicon, weights)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["doc_id", *FEATURES])
 
