@@ -16,9 +16,18 @@ _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+ROWS_A_BATCH = "2000"  # of texts of some KB; the default of 10,000 makes batches that a worker holds several times over
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's files, once; Spark takes it to every executor, present and future."""
+    """Adds the package to the session's files, once; Spark takes it to every executor, present and future.
+
+    Where the session has Spark's default for rows in an Arrow batch, it gets ROWS_A_BATCH.
+    """
     context = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, "10000") == "10000":
+        spark.conf.set(batch, ROWS_A_BATCH)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
