@@ -6,9 +6,9 @@ whose share is, takes that run's term: so inflected forms share statistics, and
 words are their own terms. What is counted over all documents is summed in each task first:
 
 1. of labelled training documents: those that hold a word or a run of letters, by label. Terms that lean to toxic ones
-   by LEAST_Z deviations and LEAST_ODDS or more are the toxic seeds
+   by LEAST_Z deviations and LEAST_ODDS or more, and stand in LEAST_SHARE of them, are the toxic seeds
 2. occurrences of every term, and pairs of a toxic seed and any term within SPAN words. Nodes of the graph are the toxic seeds
-   and the terms tied to one (LEAST_PAIRS pairs, SHIFT of mutual information, TIED_Z deviations above chance); those of
+   and the terms tied to them together (LEAST_PAIRS pairs, SHIFT of mutual information, TIED_Z deviations above chance); those of
    them that labelled documents show leaning to clean ones are the neutral seeds
 3. pairs of nodes within SPAN words, which make the graph
 
@@ -40,8 +40,9 @@ SPAN = 4
 PIECE = 1 << 18  # bytes of text at a time; the arrays of a piece are 8 times as long, and some ten live at once
 LABELLED = 50_000
 MOST_BROADCAST = 2_000_000  # terms sent to tasks
-MOST_HELD = 1_000_000  # edges walked over in the driver
+MOST_HELD = 2_000_000  # edges walked over in the driver
 LEAST_Z = 5.0
+LEAST_SHARE = 0.005  # of the toxic training documents: rarer terms are no evidence at any size
 LEAST_ODDS = 2.0, 3.0  # natural log: of a word, of a run of letters (which stands in other words too)
 LEAST_PAIRS = 4
 TIED_Z = 4.0
@@ -453,10 +454,11 @@ def graph(documents: DataFrame, terms: Terms, counted: DataFrame, lean: DataFram
     single = counted.filter("a = 0").select(F.col("b").alias("term"), "n")
     total = single.agg(F.sum("n")).first()[0] or 0
     hot = written(single.join(lean.filter("hot").select("term"), "term"), "toxicity-hot")
-    near = counted.filter(f"a <> 0 AND n >= {LEAST_PAIRS}").withColumnRenamed("n", "pairs").join(hot.select(F.col("term").alias("a"), F.col("n").alias("n_a")), "a")
-    near = near.join(single.select(F.col("term").alias("b"), F.col("n").alias("n_b")), "b")
-    chance = 2.0 * SPAN * F.col("n_a") * F.col("n_b") / F.lit(float(max(1, total)))
-    near = near.filter((_pmi(total, F.col("pairs"), F.col("n_a"), F.col("n_b")) >= SHIFT) & (F.col("pairs") - chance >= TIED_Z * F.sqrt(chance)))
+    n_hot = hot.agg(F.sum("n")).first()[0] or 0
+    near = counted.filter("a <> 0").join(F.broadcast(hot.select(F.col("term").alias("a"))), "a", "left_semi").groupBy("b").agg(F.sum("n").alias("pairs"))  # hot: no more than leaned
+    near = near.filter(F.col("pairs") >= LEAST_PAIRS).join(single.select(F.col("term").alias("b"), F.col("n").alias("n_b")), "b")
+    chance = 2.0 * SPAN * n_hot * F.col("n_b") / F.lit(float(max(1, total)))
+    near = near.filter((F.log(F.col("pairs") / chance) >= SHIFT) & (F.col("pairs") - chance >= TIED_Z * F.sqrt(chance)))
     tied = near.select(F.col("b").alias("term"), F.col("n_b").alias("n")).distinct().join(hot.select("term"), "term", "left_anti")
     tied = tied.join(lean.select("term", "lean", "odds"), "term", "left").select("term", "n", F.lit(False).alias("hot"), F.coalesce((F.col("lean") < 0) & (F.col("odds") < 0), F.lit(False)).alias("cold"))
     nodes = written(hot.select("term", "n", F.lit(True).alias("hot"), F.lit(False).alias("cold")).unionByName(tied), "toxicity-nodes")
@@ -490,7 +492,7 @@ def seeds(documents: DataFrame, labels: dict[int, int]) -> tuple[DataFrame, Term
     n_toxic, n_clean = sum(labels.values()), sum(1 - v for v in labels.values())
     if not n_toxic or not n_clean:
         return None
-    lean = written(_leaning(leanings(documents, labels), n_toxic, n_clean).withColumn("hot", (F.col("lean") >= LEAST_Z) & (F.col("odds") >= F.when(F.col("is_word"), LEAST_ODDS[0]).otherwise(LEAST_ODDS[1]))), "toxicity-terms")
+    lean = written(_leaning(leanings(documents, labels), n_toxic, n_clean).withColumn("hot", (F.col("lean") >= LEAST_Z) & (F.col("odds") >= F.when(F.col("is_word"), LEAST_ODDS[0]).otherwise(LEAST_ODDS[1])) & (F.col("n_toxic") >= LEAST_SHARE * n_toxic)), "toxicity-terms")
     hot = lean.filter("hot").select("term", "lean").toArrow()  # of at most LABELLED documents, and only those that lean
     if not len(hot):
         return None
