@@ -102,7 +102,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if copies.count() <= MOST_BROADCAST:
         copies = F.broadcast(copies)
     counted = rows.select(F.struct(*columns).alias("_doc"), F.col(key).alias("_key")).join(copies, "_key", "left")
-    times = F.coalesce("copies", F.lit(1))
+    times = F.coalesce("copies", F.lit(1)).cast("int")
     return counted.filter(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select("_doc.*")
 
 
