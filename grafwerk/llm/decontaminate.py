@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, text_chunks, written
+from .common import mix, span_hashes, text_chunks, tidy, written
 
 SHINGLE = 3
 BITS = 1024
@@ -273,7 +273,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "similarity", "first_word"],
                     )
 
-        one = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        one = rows.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, first_word long")
         found = one if found is None else found.union(one)
     return found
 

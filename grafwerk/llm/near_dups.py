@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, text_chunks, words_of, written
+from .common import mix, span_hashes, text_chunks, tidy, words_of, written
 
 SHINGLE = 5
 PERCENT = 70
@@ -36,7 +36,7 @@ BANDS = 40
 ROWS = 4
 AGREE = 84  # of the BANDS * ROWS coordinates; at similarity 0.7 fewer agree with chance 2e-6
 CENTRES = 4  # of a bucket of shared prefixes, in its first round
-SMALL = 128  # members of a bucket that isn't worth dividing
+SMALL = 128  # members of a bucket beside those of its largest component, up to which it isn't worth dividing
 BLOCK = 1 << 15
 MOST_BROADCAST = 1_000_000
 
@@ -145,7 +145,7 @@ def signed(documents: DataFrame) -> DataFrame:
                     sketch[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), pa.array(same, pa.int64()), bands, pa.array(sketch, pa.binary())], names=["doc_id", "n", "same", "bands", "sketch"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, n long, same long, bands array<long>, sketch binary")
+    return _texts(documents).mapInArrow(tidy(run), "doc_id long, n long, same long, bands array<long>, sketch binary")
 
 
 def _small(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
@@ -165,7 +165,7 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [s for s in sets_of(raw, off) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["same", "set"])
 
-    found = written(rows.mapInArrow(run, "same long, set binary").join(wanted.select("same"), "same", "left_semi"), "dup-sets")
+    found = written(rows.mapInArrow(tidy(run), "same long, set binary").join(wanted.select("same"), "same", "left_semi"), "dup-sets")
     if found.count() > wanted.count():  # repeated rows
         found = written(found.dropDuplicates(["same"]), "dup-sets")
     return found
@@ -184,7 +184,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFra
             kept = pa.array((x == y).sum(axis=1) >= agree)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "of_u", "of_v").mapInArrow(tidy(run), "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(tidy(run), "u long, v long")
 
 
 def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +274,7 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(values[start:end]))], names=["same", "n", "key"])
                 start = end
 
-    rows = sets.select("same", "set").mapInArrow(list_, "same long, n long, key long")
+    rows = sets.select("same", "set").mapInArrow(tidy(list_), "same long, n long, key long")
     often = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "dup-often")
     shared = written(rows.join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, "key"), "dup-shared")
     own = shared.groupBy("same").agg(F.count(F.lit(1)).alias("_shared"))
@@ -359,18 +359,22 @@ class _Search:
             left = self.mixed(self.round(left, CENTRES))
             if left is None:
                 return
-            whole = left
-            if left.groupBy("key").count().agg(F.max("count")).first()[0] > SMALL:
-                level += 1
-                left, whole = self.divided(left, own, level)
-            else:
-                left = None
+            sizes = left.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.max("count").alias("most"))
+            large = written(sizes.filter(F.col("m") - F.col("most") > SMALL).select("key"), "dup-large")
+            if large.isEmpty():
+                return self.exhaust(left)
+            # centres come from small components first: members outside the largest one are what rounds cost
+            self.exhaust(written(left.join(large, "key", "left_anti"), "dup-small"))
+            level += 1
+            left, whole = self.divided(self.mixed(left.join(large, "key", "left_semi")), own, level)
             self.exhaust(whole)
             if left is not None:
                 left = self.mixed(left)
 
-    def divided(self, left: DataFrame, own: DataFrame, level: int) -> tuple[DataFrame | None, DataFrame]:
+    def divided(self, left: DataFrame | None, own: DataFrame, level: int) -> tuple[DataFrame | None, DataFrame | None]:
         """(rows of finer buckets, rows of the buckets that these don't make cheaper: by the squares of their members, halved at least)."""
+        if left is None:
+            return None, None
         more = own.select("same", F.col("place").alias("_next"), F.col("key").alias("_key"))
         finer = left.join(more, "same").filter((F.col("_next") > F.col("place")) & (F.col("_next") <= _reach(F.col("n"), level, self.percent)))
         finer = written(finer.select(F.col("key").alias("of"), F.xxhash64("key", "_key").alias("key"), "same", "n", F.col("_next").alias("place")), "dup-finer")
@@ -383,10 +387,10 @@ class _Search:
         rest = written(left.join(_small(cost.filter("NOT worth").select("key"), "dup-whole"), "key", "left_semi"), "dup-rest")
         return None if down.isEmpty() else down, rest
 
-    def exhaust(self, left: DataFrame) -> None:
+    def exhaust(self, left: DataFrame | None) -> None:
         """Rounds with more and more centres, until every bucket is of one component or has no members left."""
         centres = 8 * CENTRES
-        rest = self.mixed(left)
+        rest = None if left is None else self.mixed(left)
         while rest is not None:
             rest = self.mixed(self.round(rest, centres))
             centres *= 2

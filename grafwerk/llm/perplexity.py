@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, mix, text_chunks, words_of, written
+from .common import filesystem, fresh_path, mix, text_chunks, tidy, words_of, written
 
 ORDER = 5
 CHUNK_ROWS = 16_384
@@ -140,7 +140,7 @@ def _counted(texts: DataFrame) -> DataFrame:
             strings = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(strings, pa.string()), pa.array(n)], names=["lang", "gram", "n"])
 
-    return texts.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discount(n: Column, d: list[Column]) -> Column:
@@ -191,7 +191,7 @@ def train(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column("logp").cast(pa.float32()), batch.column("backoff").cast(pa.float32())], names=["key", "logp", "backoff"])
 
     both = union(rows).withColumn("backoff", F.lit(None).cast("double")).unionByName(union(backoffs).withColumn("logp", F.lit(None).cast("double")))
-    return both.mapInArrow(key, "key long, logp float, backoff float").groupBy("key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return both.mapInArrow(tidy(key), "key long, logp float, backoff float").groupBy("key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
 
 
 # ---- scoring -----------------------------------------------------------------
@@ -330,7 +330,7 @@ def score(documents: DataFrame, model: DataFrame, key: str | None = None) -> Dat
     spark = documents.sparkSession
     rows = _chunked(documents, key)
     folder = fresh_path(spark, "kn-slices")
-    wanted = rows.select("lang", "text", "chunk").mapInArrow(_chunk_keys, "chunk long, key long")
+    wanted = rows.select("lang", "text", "chunk").mapInArrow(tidy(_chunk_keys), "chunk long, key long")
     # both halves of a chunk that two tasks read list its grams: partitioned by key, they become one row without another shuffle
     wanted = wanted.repartition("key").dropDuplicates(["key", "chunk"])
     found = wanted.join(model, "key").select("chunk", "key", "logp", "backoff")
@@ -364,7 +364,7 @@ def score(documents: DataFrame, model: DataFrame, key: str | None = None) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["chunk"])
 
     # a chunk's slice is bounded by the distinct grams of its rows
-    written(found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(store, "chunk long"), "kn-stored")
+    written(found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidy(store), "chunk long"), "kn-stored")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part = None, None
@@ -385,7 +385,7 @@ def score(documents: DataFrame, model: DataFrame, key: str | None = None) -> Dat
                         [some.column("key").slice(first, n), some.column("doc_id").slice(first, n), some.column("lang").slice(first, n), pa.array(count.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(mean, pa.float64(), from_pandas=True)], names=["key", "doc_id", "lang", "n_chars", "n_words", "mean_log"]
                     )
 
-    return rows.mapInArrow(run, "key long, doc_id long, lang string, n_chars long, n_words long, mean_log double")
+    return rows.mapInArrow(tidy(run), "key long, doc_id long, lang string, n_chars long, n_words long, mean_log double")
 
 
 def _load(folder: str, chunk: int) -> Slice:

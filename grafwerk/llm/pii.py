@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, tidy
 from .spans import EMPTY_DIGEST, digest, joined
 
 BASE = ["email", "ip", "card", "phone"]
@@ -600,7 +600,7 @@ def scan(documents: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) ->
                     digests[row], joint[row] = digest(kept, KINDS), joined(spans, KINDS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *[pa.array(counts[k]) for k in BASE], pa.array(digests), pa.array(joint)], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

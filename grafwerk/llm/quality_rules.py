@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, row_sums, span_hashes, text_chunks, words_of, written
+from .common import SPACE, mix, row_sums, span_hashes, text_chunks, tidy, words_of, written
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -111,7 +111,7 @@ def document_statistics(documents: DataFrame) -> DataFrame:
                 found = statistics(raw, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *[pa.array(found[c].astype(np.int64)) for c in BASE + MORE]], names=["doc_id", *BASE, *MORE])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measure, _STATISTICS)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(measure), _STATISTICS)
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -239,7 +239,7 @@ def judge(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, bound
             chance = trees.chance(features(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in BASE], pa.array(failed), pa.array(chance), pa.array(~failed & (chance < threshold))], names=["doc_id", *BASE, "base_failed", "low_quality", "kept"])
 
-    return measured.mapInArrow(score, schema)
+    return measured.mapInArrow(tidy(score), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, tidy
 from .spans import EMPTY_DIGEST, digest, joined
 
 MOST_STRINGS = 64  # alternatives kept exactly while a query is derived; beyond, they become trigram conditions
@@ -331,7 +331,7 @@ def scan(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *[pa.array(counts[k]) for k in base], pa.array(digests), pa.array(texts)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, span_hashes, text_chunks, written
+from .common import filesystem, fresh_path, span_hashes, text_chunks, tidy, written
 
 MAGIC = b"GWPLANE1"
 BLOCK = 1 << 16
@@ -345,7 +345,7 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str, end_id: int
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    return written(rows.mapInArrow(encode, _MANIFEST), "ids-manifest")
+    return written(rows.mapInArrow(tidy(encode), _MANIFEST), "ids-manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                         )
                         start += int(ends[-1])
 
-    return placed.repartition(tasks).mapInArrow(read, _DIGEST).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return placed.repartition(tasks).mapInArrow(tidy(read), _DIGEST).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

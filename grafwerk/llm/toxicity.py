@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, text_chunks, written
+from .common import mix, span_hashes, text_chunks, tidy, written
 
 GRAM = 4
 SPAN = 4
@@ -223,7 +223,7 @@ def leanings(documents: DataFrame, labels: dict[int, int]) -> DataFrame:
                         yield out()
         yield out()
 
-    counted = _texts(documents).mapInArrow(count, "term long, n_toxic long, n_clean long, is_word long")
+    counted = _texts(documents).mapInArrow(tidy(count), "term long, n_toxic long, n_clean long, is_word long")
     return counted.groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), (F.max("is_word") > 0).alias("is_word"))
 
 
@@ -255,7 +255,7 @@ def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
         _, first, n = np.unique(mix(a) + b, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n)], names=["a", "b", "n"])
 
-    return _texts(documents).mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _texts(documents).mapInArrow(tidy(count), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(documents: DataFrame, terms: Terms, one: np.ndarray | None, other: np.ndarray | None, hold: int = 2_000_000) -> DataFrame:
@@ -296,7 +296,7 @@ def pair_counts(documents: DataFrame, terms: Terms, one: np.ndarray | None, othe
                     least = max(hold // 4, 2 * rows)
         yield batch_of(*merged())
 
-    return _texts(documents).mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _texts(documents).mapInArrow(tidy(count), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def node_pairs(documents: DataFrame, terms: Terms, nodes: np.ndarray, least: int = 1, hold: int = 1_000_000) -> DataFrame:
@@ -342,8 +342,8 @@ def node_pairs(documents: DataFrame, terms: Terms, nodes: np.ndarray, least: int
             x, y = (nodes[k].view(np.int64) for k in (key // size, key % size))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)), pa.array(np.append(y, x)), pa.concat_arrays([batch.column(1)] * 2)], names=["a", "b", "n"])
 
-    sums = _texts(documents).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") >= least).mapInArrow(named, "a long, b long, n long")
+    sums = _texts(documents).mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") >= least).mapInArrow(tidy(named), "a long, b long, n long")
 
 
 def _within(h: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -398,7 +398,7 @@ def _product(edges: DataFrame, n: int, most_held: int) -> Callable[[np.ndarray],
             b = np.flatnonzero(met)
             yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(y[b, 0]), pa.array(y[b, -1])], names=["b", "first", "last"])
 
-        got = edges.mapInArrow(run, "b int, first double, last double").toArrow()  # tables lie by b: about a row a node
+        got = edges.mapInArrow(tidy(run), "b int, first double, last double").toArrow()  # tables lie by b: about a row a node
         b = got.column("b").to_numpy()
         return np.stack([np.bincount(b, got.column(c).to_numpy(), n) for c in ("first", "last")], axis=1)
 
@@ -421,7 +421,7 @@ def walked(nodes: DataFrame, edges: DataFrame, most_held: int = MOST_HELD, most:
                 a, b = (pa.array(np.searchsorted(term, batch.column(k).to_numpy()).astype(np.int32)) for k in range(2))
                 yield pa.RecordBatch.from_arrays([a, b, batch.column(2)], names=["a", "b", "w"])
 
-        times = _product(written(edges.select("a", "b", "w").mapInArrow(number, "a int, b int, w double").repartition("b"), "toxicity-edges"), len(term), most_held)
+        times = _product(written(edges.select("a", "b", "w").mapInArrow(tidy(number), "a int, b int, w double").repartition("b"), "toxicity-edges"), len(term), most_held)
         d = times(np.ones((len(term), 2)))[:, :1]
         scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0.0)
         s = p = np.stack([table.column(c).to_numpy() for c in ("s_plus", "s_minus")], axis=1)
@@ -481,7 +481,7 @@ def graph(documents: DataFrame, terms: Terms, counted: DataFrame, lean: DataFram
             on = pa.array(w > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on), pa.array(w).filter(on)], names=["a", "b", "w"])
 
-    return nodes, node_pairs(documents, terms, sent, LEAST_PAIRS).mapInArrow(weighed, "a long, b long, w double")
+    return nodes, node_pairs(documents, terms, sent, LEAST_PAIRS).mapInArrow(tidy(weighed), "a long, b long, w double")
 
 
 def seeds(documents: DataFrame, labels: dict[int, int]) -> tuple[DataFrame, Terms] | None:
@@ -543,7 +543,7 @@ def measured(documents: DataFrame, terms: Terms, lexicon: np.ndarray, weights: n
                 x = _measure(raw, off, terms, lexicon, weights)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["doc_id", *FEATURES])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    return _texts(documents).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 def _expanded(x: np.ndarray) -> np.ndarray:
@@ -591,7 +591,7 @@ def score(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= PREDICT_AT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return table.withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return table.withColumn("held_out", held).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, fresh_path, written
+from .common import filesystem, fresh_path, tidy, written
 
 MAGIC = b"WARC/1.1\r\n"
 FILE_BYTES = 1 << 30
@@ -49,7 +49,7 @@ def with_records(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Data
     schema = T.StructType([f for f in rows.schema.fields if f.name != "html"] + [T.StructField("body", T.BinaryType())])
     if first.count() <= most_broadcast:
         first = F.broadcast(first)
-    joined = rows.mapInArrow(_compressed, schema).join(first, F.col("payload_digest") == F.col("_digest"), "left")
+    joined = rows.mapInArrow(tidy(_compressed), schema).join(first, F.col("payload_digest") == F.col("_digest"), "left")
     return joined.select("page_id", "url", "body", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
 
@@ -108,7 +108,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
             done.append((path, size))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
-    return written(records.select("page_id", "url", "body", "payload_digest", "refers_to").mapInArrow(write, "path string, size long"), "warc-manifest")
+    return written(records.select("page_id", "url", "body", "payload_digest", "refers_to").mapInArrow(tidy(write), "path string, size long"), "warc-manifest")
 
 
 def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(found), pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["path", "at", "to"])
 
     entered = files.select("path", F.lit(0).cast("long").alias("at"))
-    hops = written(spread(splits).mapInArrow(scan, "path string, at long, to long"), "warc-hops")
+    hops = written(spread(splits).mapInArrow(tidy(scan), "path string, at long, to long"), "warc-hops")
     targets = hops.select("path", F.col("to").alias("at")).union(entered).distinct()
     jumps = written(hops.join(targets, ["path", "at"], "left_semi"), "warc-jumps")
     for _ in range(math.ceil(math.log2(per_file)) if per_file > 1 else 0):
@@ -263,7 +263,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         at = base + after
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 
-    return spread(entries).mapInArrow(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_matches boolean")
+    return spread(entries).mapInArrow(tidy(parse), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_matches boolean")
 
 
 _NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_matches"]
