@@ -13,7 +13,7 @@ from grafwerk.llm.common import text_chunks
 
 def hashes(words):
     _, _, raw, off = next(text_chunks(pa.array([" ".join(words)])))
-    return toxicity.stems(raw, off)[0]
+    return toxicity.words(raw, off)[0]
 
 
 # ---- 6: toxicity -------------------------------------------------------------
@@ -35,26 +35,24 @@ def many_terms(spark):
 
 def test_every_toxic_seed_and_every_tied_term_gets_a_weight(many_terms):
     docs, labels, bad, tied = many_terms
-    terms, _ = toxicity.induce(docs, labels)
-    assert set(hashes(bad).tolist()) <= set(terms.tolist())
-    assert set(hashes(tied).tolist()) <= set(terms.tolist())
+    _, lexicon, weights = toxicity.induce(docs, labels)
+    assert set(hashes(bad).tolist()) <= set(lexicon.tolist()) and (weights > 0).all()
+    assert set(hashes(tied).tolist()) <= set(lexicon.tolist())
 
 
 def test_toxicity_graph_and_walks_by_joins_alone(many_terms, monkeypatch):
-    from pyspark.sql import functions as F
-
     docs, labels, _, _ = many_terms
     docs = docs.filter("doc_id < 30 OR doc_id BETWEEN 100 AND 130 OR doc_id % 9 = 0")
     monkeypatch.setattr(toxicity, "STEPS", 3)
-    terms = toxicity.written(toxicity._leaning(toxicity.term_counts(docs, labels), 60, 300), "test-terms")
-    total = terms.agg(F.sum("n")).first()[0]
-    (nodes, edges), (far_nodes, far_edges) = toxicity.graph(docs, terms, total), toxicity.graph(docs, terms, total, most=0)
+    lean, terms = toxicity.seeds(docs, labels)
+    counted = toxicity.written(toxicity.term_counts(docs, terms), "test-counts")
+    (nodes, edges), (far_nodes, far_edges) = toxicity.graph(docs, terms, counted, lean), toxicity.graph(docs, terms, counted, lean, most=0)
     key = lambda df: {(r.a, r.b): r.w for r in df.collect()}
     assert sorted(nodes.collect()) == sorted(far_nodes.collect())
     assert key(edges) == pytest.approx(key(far_edges)) and edges.count() > 1000
     sent = toxicity._sent(nodes, 1 << 40)
     count = lambda df: {(r.a, r.b): r.n for r in df.collect()}
-    assert count(toxicity.node_pairs(docs, sent, hold=50)) == count(toxicity.pair_counts(docs, sent, sent).filter("a <> b"))
+    assert count(toxicity.node_pairs(docs, terms, sent, hold=50)) == count(toxicity.pair_counts(docs, terms, sent, sent).filter("a <> b"))
     rows = [sorted((r.term, r.plus, r.minus) for r in toxicity.walked(nodes, edges, *most).collect()) for most in ((1 << 40, 1 << 40), (0, 1 << 40), (0, 0))]
     for other in rows[1:]:
         assert [r[0] for r in rows[0]] == [r[0] for r in other] and np.allclose(np.array(rows[0])[:, 1:].astype(float), np.array(other)[:, 1:].astype(float), rtol=1e-9, atol=0)
