@@ -8,8 +8,8 @@ the item share a shingle, in line with it: a window that shares none has similar
 A window's fingerprint of BITS bits is looked up in BLOCKS blocks of 16 bits. Of two fingerprints within RADIUS, some block
 differs by RADIUS // BLOCKS bits at most, so the items filed under all values that near hold every item within RADIUS. A
 block's neighbourhood is 137 of 65,536 values. Of the items within RADIUS, those with weighted Jaccard similarity of THRESHOLD
-or more are reported. Two bags of that similarity have fingerprints that differ by 0.15 * BITS bits on average, and RADIUS
-lies more than three deviations above.
+or more are reported. Two bags of that
+similarity have fingerprints that differ by about 0.17 * BITS bits; of pairs just above it, 0.91 lie within RADIUS.
 """
 
 from __future__ import annotations
