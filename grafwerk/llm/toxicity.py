@@ -409,8 +409,7 @@ def walked(nodes: DataFrame, edges: DataFrame, most_held: int = MOST_HELD, most:
     """term, plus, minus: two walks with restart over edges (a, b, w) of nodes (term, hot, cold), from hot and from cold ones."""
     n_hot, n_cold, n = nodes.agg(F.sum(F.col("hot").cast("long")), F.sum(F.col("cold").cast("long")), F.count(F.lit(1))).first()
     share = lambda c, n: F.when(F.col(c), F.lit(1.0 / max(1, n or 0))).otherwise(0.0)
-    anywhere = 1.0 if not n_cold else UNIFORM
-    minus = (1 - anywhere) * share("cold", n_cold) + anywhere / max(1, n)
+    minus = (1 - UNIFORM) * share("cold", n_cold) + UNIFORM / max(1, n)  # without neutral seeds, the uniform part alone
     start = written(nodes.select("term", share("hot", n_hot).alias("s_plus"), minus.alias("s_minus")), "toxicity-start")
     if start.count() <= most:
         table = start.toArrow().sort_by("term")
