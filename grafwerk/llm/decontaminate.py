@@ -30,7 +30,7 @@ BLOCKS = BITS // 16
 RADIUS = 3 * BLOCKS - 1
 THRESHOLD = 0.8
 ITEMS_A_BLOCK = 20_000
-FEATURES_A_STEP = 1 << 13  # of windows fingerprinted at a time, of BITS votes each
+FEATURES_A_STEP = 1 << 10  # of windows fingerprinted at a time, of BITS votes each: some 10 KB a feature with the copies
 
 _A = np.uint64(0x9DDFEA08EB382D69)
 _WORDS = np.zeros(256, bool)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -132,6 +133,19 @@ def test_token_query_against_the_library(spark, texts):
 # ---- 2: decontamination ------------------------------------------------------
 
 
+def test_fingerprints_hold_little_memory_at_a_time():
+    rng = np.random.default_rng(3)
+    features, weights = rng.integers(1, 1 << 63, 20_000, dtype=np.uint64), rng.integers(1, 20, 20_000)
+    edges = np.arange(0, 20_001, 50)
+    tracemalloc.start()
+    got = decontaminate.fingerprints(features, weights, edges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    sums = [(decontaminate._signs(features[a:b]) * weights[a:b, None]).sum(axis=0) for a, b in zip(edges[:-1], edges[1:])]
+    assert np.array_equal(got, np.packbits(np.stack(sums) > 0, axis=1))
+
+
 def test_windows_against_brute_force(texts):
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
 
