@@ -6,7 +6,9 @@ coordinates: sigma scatters a shingle, pi is applied to sigma's value shifted ci
 the least pi. Bands of ROWS coordinates make buckets.
 
 Candidates are thinned before any set moves: by the sizes of the sets, which bound their similarity, and by AGREE, the
-least number of equal coordinates (of the last byte of each) that a pair must show. What is left is confirmed on full sets.
+least number of equal coordinates (of the last byte of each) that a pair must show. Then by the first two bytes of all
+hashes of both sets: equal hashes have equal beginnings, so these bound the intersection from above, and no link is lost.
+What is left is confirmed on full sets.
 
 Links inside buckets, without all pairs: a bucket has a centre, its other members are compared with the centre, and the
 centre leaves. Buckets whose members all lie in one component are done. The classes of buckets that still hold several
@@ -38,6 +40,7 @@ AGREE = 84  # of the BANDS * ROWS coordinates; at similarity 0.7 fewer agree wit
 CENTRES = 4  # of a bucket of shared prefixes, in its first round
 SMALL = 128  # members of a bucket beside those of its largest component, up to which it isn't worth dividing
 BLOCK = 1 << 15
+SHORT = 1 << 13  # hashes of a set, up to which their beginnings have 16 bits, not 32
 MOST_BROADCAST = 1_000_000
 
 _A = np.uint64(0x9DDFEA08EB382D69)
@@ -154,8 +157,31 @@ def _small(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def beginnings(s: np.ndarray) -> np.ndarray:
+    """The first 16 bits of each hash of a sorted set (32 of more than SHORT hashes), sorted, repeats and all."""
+    return (s >> np.uint64(48)).astype(np.uint16) if len(s) <= SHORT else (s >> np.uint64(32)).astype(np.uint32)
+
+
+def most_common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """(sizes of two sets, the most hashes that they can share) by their beginnings."""
+    p, q = (np.frombuffer(b, np.uint16 if len(b) <= 2 * SHORT else np.uint32) for b in (x, y))
+    if p.dtype != q.dtype:
+        p, q = (b if b.dtype == np.uint16 else (b >> np.uint32(16)).astype(np.uint16) for b in (p, q))
+    # each with the number of its equals before it, so that repeats are matched one by one
+    p, q = ((b.astype(np.uint64) << np.uint64(32)) + (np.arange(len(b)) - np.searchsorted(b, b)).astype(np.uint64) for b in (p, q))
+    return len(p), len(q), _common(p, q)
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """The values that two sorted arrays without repeats share."""
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return int((large[at] == small).sum())
+
+
 def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """same, set (sorted 64-bit hashes) of the classes in wanted (same, doc: a document with that set), from whole texts."""
+    """same, set (sorted 64-bit hashes), begin (their beginnings) of the classes in wanted (same, doc: a document with that set), from whole texts."""
     wanted = _small(wanted, "dup-wanted")
     rows = _texts(documents).join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
 
@@ -163,9 +189,9 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, raw, off in text_chunks(batch.column(1)):
                 sets = [s for s in sets_of(raw, off) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["same", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([beginnings(s).tobytes() for s in sets], pa.binary())], names=["same", "set", "begin"])
 
-    found = written(rows.mapInArrow(tidy(run), "same long, set binary").join(wanted.select("same"), "same", "left_semi"), "dup-sets")
+    found = written(rows.mapInArrow(tidy(run), "same long, set binary, begin binary").join(wanted.select("same"), "same", "left_semi"), "dup-sets")
     if found.count() > wanted.count():  # repeated rows
         found = written(found.dropDuplicates(["same"]), "dup-sets")
     return found
@@ -187,26 +213,43 @@ def _alike(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFra
     return pairs.join(a, "u").join(b, "v").select("u", "v", "of_u", "of_v").mapInArrow(tidy(run), "u long, v long")
 
 
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """u, v, of_u, of_v: the column of both sets of each of the pairs, which are written. Of other sets none moves."""
+    few = F.broadcast if pairs.count() <= MOST_BROADCAST else lambda df: df
+    a = sets.select(F.col("same").alias("v"), F.col(column).alias("of_v"))
+    b = sets.select(F.col("same").alias("u"), F.col(column).alias("of_u")).join(few(pairs.select("u").distinct()), "u", "left_semi")
+    return few(pairs).join(a, "v").join(b, "u").select("u", "v", "of_u", "of_v")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that may be links by the beginnings of their hashes: all links, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                n, m, common = most_common(x, y)
+                keep.append(100 * common >= percent * (n + m - common))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
+
+    return _with_both(pairs, sets, "begin").mapInArrow(tidy(run), "u long, v long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union, on full sets."""
-    a = sets.select(F.col("same").alias("v"), F.col("set").alias("set_v"))
-    b = sets.select(F.col("same").alias("u"), F.col("set").alias("set_u"))
-    both = pairs.join(a, "v").join(b, "u").select("u", "v", "set_u", "set_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (p, q) if len(p) < len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum())
+                common = _common(p, q)
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return both.mapInArrow(tidy(run), "u long, v long")
+    return _with_both(pairs, sets, "set").mapInArrow(tidy(run), "u long, v long")
 
 
 def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,18 +338,22 @@ class _Search:
     def __init__(self, documents: DataFrame, classes: DataFrame, percent: int) -> None:
         self.documents, self.classes, self.percent = documents, classes, percent
         self.component: DataFrame | None = None  # node, component of the classes with links
+        self.nodes = 0  # rows of it
         self.tested: DataFrame | None = None
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with the component of each class (itself, if it has no link)."""
         if self.component is None:
             return rows.withColumn("component", F.col("same"))
-        return rows.join(self.component.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+        component = self.component.withColumnRenamed("node", "same")
+        component = F.broadcast(component) if self.nodes <= MOST_BROADCAST else component
+        return rows.join(component, "same", "left").withColumn("component", F.coalesce("component", "same"))
 
     def mixed(self, left: DataFrame) -> DataFrame | None:
         """The rows of buckets that hold several components, or None if there are none."""
         placed = self.placed(left.drop("component"))
         several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        several = _small(several, "dup-several")
         left = written(placed.join(several, "key", "left_semi"), "dup-left")
         return None if left.isEmpty() else left
 
@@ -324,7 +371,9 @@ class _Search:
         likely = written(likely, "dup-likely")
         self.tested = likely if self.tested is None else self.tested.union(likely)
         if not likely.isEmpty():
-            self.link(written(_confirmed(likely, self.sets, self.percent), "dup-links"))
+            possible = written(_possible(likely, self.sets, self.percent), "dup-possible")
+            if not possible.isEmpty():
+                self.link(written(_confirmed(possible, self.sets, self.percent), "dup-links"))
         return left.join(chosen.select("key", F.col("centre").alias("same")), ["key", "same"], "left_anti")
 
     def link(self, found: DataFrame) -> None:
@@ -333,6 +382,7 @@ class _Search:
             return
         if self.component is None:
             self.component = written(components(found), "dup-components")
+            self.nodes = self.component.count()
             return
         named = self.placed(found.select(F.col("u").alias("same"), "v")).select(F.col("component").alias("a"), F.col("v").alias("same"))
         named = self.placed(named).select(F.col("a").alias("u"), F.col("component").alias("v"))
@@ -340,6 +390,7 @@ class _Search:
         old = self.component.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
         fresh = merged.join(self.component.select("node"), "node", "left_anti").select("node", "component")
         self.component = written(old.union(fresh), "dup-components")
+        self.nodes = self.component.count()
 
     def run(self, buckets: DataFrame) -> None:
         left = self.mixed(buckets)
@@ -351,7 +402,7 @@ class _Search:
         left = self.mixed(self.round(left, 1))
         if left is None:
             return
-        own = written(prefixes(self.sets.join(left.select("same").distinct(), "same", "left_semi"), self.percent), "dup-prefixes")
+        own = written(prefixes(self.sets.join(_small(left.select("same").distinct(), "dup-among"), "same", "left_semi"), self.percent), "dup-prefixes")
         level = 1
         left = own.filter(F.col("place") <= _reach(F.col("n"), 1, self.percent)).select("key", "same", "n", "place")
         left = self.mixed(left)

@@ -309,6 +309,30 @@ def test_thousands_of_texts_that_share_a_passage(spark, monkeypatch):
     assert sum(rests) > 1000  # the last resort was reached
 
 
+def test_beginnings_bound_the_intersection(spark):
+    """Pairs are thinned by the beginnings of hashes before full sets move: no link is lost, few others are left."""
+    rng = np.random.default_rng(5)
+    sets, pairs, links = {}, [], set()
+    for k, n in enumerate([1, 3, 10, 40, 440, 3000, 8192, 8193, 9500, 20000] * 3):
+        one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        kept = one[rng.random(n) < (0.9, 0.83, 0.6)[k // 10]]
+        two = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, max(1, len(one) - len(kept)), dtype=np.uint64)]))
+        common = len(np.intersect1d(one, two))
+        size, other, most = near_dups.most_common(near_dups.beginnings(one).tobytes(), near_dups.beginnings(two).tobytes())
+        assert (size, other) == (len(one), len(two)) and common <= most <= common + 0.02 * n + 2
+        sets[2 * k], sets[2 * k + 1] = one, two
+        pairs.append((2 * k, 2 * k + 1))
+        if 100 * common >= 70 * (size + other - common):
+            links.add(pairs[-1])
+    rows = spark.createDataFrame([(i, s.tobytes(), near_dups.beginnings(s).tobytes()) for i, s in sets.items()], "same long, set binary, begin binary")
+    pairs = spark.createDataFrame(pairs, "u long, v long")
+    possible = near_dups._possible(pairs, rows, 70).cache()
+    assert links <= {(r.u, r.v) for r in possible.collect()} and possible.count() < 25
+    assert {(r.u, r.v) for r in near_dups._confirmed(possible, rows, 70).collect()} == links and 5 < len(links)
+    heavy = np.array([7 << 48, (7 << 48) + 1, (7 << 48) + 2, 9 << 48], np.uint64)  # repeated beginnings are matched one by one
+    assert near_dups.most_common(near_dups.beginnings(heavy).tobytes(), near_dups.beginnings(heavy[1:3]).tobytes()) == (4, 2, 2)
+
+
 def test_repeated_ids_with_other_texts_keep_all_their_links(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(5, a), (5, b), (3, b + " end"), (7, a + " end"), (9, c), (9, c), (None, a), (11, c + " end")]
