@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions for spans that the patterns miss.
 
 Patterns (email, ip, card, phone) run over whole texts. The model adds spans of the same four meanings written otherwise, also
-in words ("jane dot doe at example dot org"). Windows of WIDTH characters every STRIDE lie over whole texts. They overlap:
+in words ("jane dot doe at example dot org"). Windows of WIDTH characters every STRIDE lie over whole texts, but for texts in
+which no span could be reported, as no part of them has the form of any kind (may_hold(): spans are the same with them). They overlap:
 the scores of a character are averaged over its windows, weighted towards their middles, and one Viterbi pass reconciles
 them. Viterbi runs only where the best path can leave O: a run of characters whose scores, with the dearest transitions
 granted, can't add up to more than O's is O in every best path, so leaving it out changes nothing. Texts beyond BLOCK
@@ -110,6 +111,14 @@ def squash(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
 
+def packed(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places of rows so long: all first places, longest row first, then all second ones, and so on."""
+    order = np.argsort(-length, kind="stable")
+    row, place = np.repeat(order, length[order]), np.arange(length.sum()) - np.repeat(np.cumsum(length[order]) - length[order], length[order])
+    by_place = np.argsort(place, kind="stable")
+    return row[by_place], place[by_place]
+
+
 class Tagger:
     def __init__(self, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
@@ -151,10 +160,14 @@ class Tagger:
         return out
 
     def tables(self) -> dict[str, np.ndarray]:
-        """The weights of a pass without training, transposed and of single precision; gates by symbol."""
+        """The weights of a pass without training, transposed and of single precision; "step" takes the hidden state, the embedding and a 1.
+
+        Hidden states of such a pass are twice as large, as its gates aren't halved: the weights upon them are.
+        """
         if not hasattr(self, "_tables"):
-            gates = np.stack([(self.w["emb"] @ self.w["x" + d] + self.w["c" + d]).T for d in "fb"])
-            made = {"gates": gates, "h": np.stack([self.w["h" + d].T for d in "fb"]), "out": self.w["out"].T, "bias": self.w["bias"][:, None]}
+            step = np.stack([np.concatenate([self.w["h" + d].T / 2, self.w["x" + d].T, self.w["c" + d][:, None]], axis=1) for d in "fb"])
+            emb = np.concatenate([self.w["emb"], np.ones((SYMBOLS, 1))], axis=1).T
+            made = {"step": step, "emb": emb, "out": self.w["out"].T / 2, "bias": self.w["bias"][:, None]}
             self._tables = {k: np.ascontiguousarray(v, np.float32) for k, v in made.items()}
         return self._tables
 
@@ -162,27 +175,26 @@ class Tagger:
         """Scores (rows, places, TAGS) of windows. Rows lie innermost, so that each step works on long runs of memory."""
         w = self.tables()
         n, t = symbols.shape
-        by_place = np.ascontiguousarray(symbols.T)
-        h, c = np.zeros((2, HIDDEN, n), np.float32), np.zeros((2, HIDDEN, n), np.float32)
+        one, half = np.float32(1), np.float32(0.5)
+        x = np.ascontiguousarray(np.take(w["emb"], symbols.T, axis=1).transpose(1, 0, 2))
+        fed, c = np.zeros((2, HIDDEN + EMBEDDED + 1, n), np.float32), np.zeros((2, HIDDEN, n), np.float32)
         out = np.empty((t, 2 * HIDDEN, n), np.float32)
         z, some = np.empty((2, 4 * HIDDEN, n), np.float32), np.empty((2, 4 * HIDDEN, n), np.float32)
         i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-        gates, small, part = z[:, : 3 * HIDDEN], some[:, :HIDDEN], np.empty_like(c)
+        h, gates, small = fed[:, :HIDDEN], z[:, : 3 * HIDDEN], some[:, :HIDDEN]
         for k in range(t):
-            np.matmul(w["h"], h, out=z)
-            np.take(w["gates"][0], by_place[k], axis=1, out=some[0], mode="clip")
-            np.take(w["gates"][1], by_place[t - 1 - k], axis=1, out=some[1], mode="clip")
-            z += some
+            fed[0, HIDDEN:], fed[1, HIDDEN:] = x[k], x[t - 1 - k]
+            np.matmul(w["step"], fed, out=z)
             np.abs(z, out=some)
-            some += np.float32(1)
+            some += one
             z /= some
-            gates *= np.float32(0.5)
-            gates += np.float32(0.5)
+            gates += one  # twice the gates
             c *= f
-            np.multiply(i, g, out=part)
-            c += part
+            i *= g
+            c += i
+            c *= half
             np.abs(c, out=small)
-            small += np.float32(1)
+            small += one
             np.divide(c, small, out=h)
             h *= o
             out[k, :HIDDEN] = h[0]
@@ -276,28 +288,68 @@ class Tagger:
         return losses
 
     def decode(self, e: np.ndarray, length: np.ndarray, start: np.ndarray | None = None, final: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(best tags, posterior chance of each) of stretches padded to one length."""
+        """(best tags, posterior chance of each) of stretches padded to one length; no chances (nan) in rows of O alone."""
         n, t, _ = e.shape
+        start = np.broadcast_to(self.w["first"] + self.mask_first if start is None else start, (n, TAGS))
+        final = np.broadcast_to(np.zeros(TAGS) if final is None else final, (n, TAGS))
+        row, place = packed(length)
+        tags, chance = np.zeros((n, t), np.int64), np.full((n, t), np.nan)
+        tags[row, place], chance[row, place] = self.decode_packed(e[row, place].astype(float), row, place, start, final)
+        return tags, chance
+
+    def decode_packed(self, e: np.ndarray, row: np.ndarray, place: np.ndarray, start: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """decode() of scores in the order of packed(): each stretch costs its own length, however long the others are."""
         move = self.w["move"] + self.mask
-        best = e[:, 0] + (self.w["first"] + self.mask_first if start is None else start)
-        back = np.zeros((n, t, TAGS), np.int8)
-        for k in range(1, t):
-            s = best[:, :, None] + move
-            a = s.argmax(1)
-            nxt = np.take_along_axis(s, a[:, None], 1)[:, 0] + e[:, k]
-            on = k < length
-            best = np.where(on[:, None], nxt, best)
-            back[:, k] = np.where(on[:, None], a, np.arange(TAGS)[None])
-        tags = np.zeros((n, t), np.int64)
-        tags[:, -1] = (best if final is None else best + final).argmax(1)
-        for k in range(t - 1, 0, -1):
-            tags[:, k - 1] = back[np.arange(n), k, tags[:, k]]
-        z, alpha, beta = self.forward_backward(e, length, start, final)
-        chance = np.exp(np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0] - z[:, None])
-        return tags, np.minimum(chance, 1.0)
-
-    def may_leave(self, e: np.ndarray) -> np.ndarray:
-        """Of scores (places, TAGS) in a row: where any best path can have another tag than O.
+        base = np.searchsorted(place, np.arange(place[-1] + 2)).tolist() if len(place) else [0, 0]
+        order = row[: base[1]]
+        best = e[: base[1]] + start[order]
+        back = np.empty(e.shape, np.int8)
+        for a, b in zip(base[1:], base[2:]):
+            s = best[: b - a, :, None] + move
+            back[a:b] = s.argmax(1)
+            np.add(s.max(1), e[a:b], out=best[: b - a])
+        now = (best + final[order]).argmax(1) if len(e) else np.zeros(0, np.int64)
+        tags = np.empty(len(e), np.int64)
+        each = np.arange(len(order))
+        for a, b in zip(base[-2::-1], base[:0:-1]):
+            tags[a:b] = now[: b - a]
+            now[: b - a] = back[a:b][each[: b - a], tags[a:b]]
+        chance = np.full(len(e), np.nan)
+        some = np.zeros(int(row.max(initial=-1)) + 1, bool)
+        some[row[tags > 0]] = True
+        if some.any():
+            on = some[row]
+            chance[on] = self._chances(e[on], row[on], place[on], tags[on], start, final)
+        return tags, chance
+
+    def _chances(self, e: np.ndarray, row: np.ndarray, place: np.ndarray, tags: np.ndarray, start: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Posterior chances of tags, packed. Sums are of plain numbers, scaled at each place to add up to one.
+
+        What that rounds to zero can't be on a path that counts: a span with a head of so little weight would do better to begin after it.
+        """
+        base = np.searchsorted(place, np.arange(place[-1] + 2)).tolist()
+        order = row[: base[1]]
+        step = np.exp(self.w["move"] + self.mask)
+        back_step = np.ascontiguousarray(step.T)
+        own = np.exp(e - e.max(1, keepdims=True))
+        alpha, beta = np.empty_like(e), np.empty_like(e)
+        x = e[: base[1]] + start[order]
+        alpha[: base[1]] = np.exp(x - x.max(1, keepdims=True))
+        for last, a, b in zip(base, base[1:], base[2:]):
+            x = alpha[last : last + b - a] @ step
+            x *= own[a:b]
+            np.divide(x, x.sum(1, keepdims=True), out=alpha[a:b])
+        x = final[order]
+        now = np.exp(x - x.max(1, keepdims=True))
+        for a, b in zip(base[-2::-1], base[:0:-1]):
+            beta[a:b] = now[: b - a]
+            x = (own[a:b] * beta[a:b]) @ back_step
+            np.divide(x, x.sum(1, keepdims=True), out=now[: b - a])
+        alpha *= beta
+        return np.minimum(alpha[np.arange(len(e)), tags] / alpha.sum(1), 1.0)
+
+    def may_leave(self, e: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """Of scores (places, TAGS) in a row: where any best path can have another tag than O. No span runs over a text's start.
 
         A span of one kind gains at most: B's score and the dearest way into it, I's scores and the dearest steps to them, and
         the dearest way out, each against O at that place. Places that lie in no possible span with a gain are O.
@@ -309,7 +361,10 @@ class Tagger:
         for b in range(1, TAGS, 2):
             i = b + 1
             opening = (e[:, b] - e[:, 0]).astype(float) + max(float((move[:, b] - move[:, 0]).max()), float(first[b] - first[0]))
-            total = np.cumsum((e[:, i] - e[:, 0]).astype(float) + (max(move[b, i], move[i, i]) - move[0, 0]))
+            gain = (e[:, i] - e[:, 0]).astype(float) + (max(move[b, i], move[i, i]) - move[0, 0])
+            if start is not None:
+                gain[start] += self.mask_first[i]
+            total = np.cumsum(gain)
             out = max(0.0, float((move[b : i + 1, after] - move[0, after]).max()))
             on |= np.maximum.accumulate(opening - total) + np.maximum.accumulate(total[::-1])[::-1] + out > -1e-6
         return on
@@ -427,33 +482,39 @@ def train(texts: list[str], windows: int = WINDOWS) -> Tagger:
 _MIDDLE = (1 + np.minimum(np.arange(WIDTH), WIDTH - 1 - np.arange(WIDTH))).astype(np.float32)
 
 
-def averaged(tagger: Tagger, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 512) -> np.ndarray:
+def averaged(tagger: Tagger, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 384) -> np.ndarray:
     """Scores (places, TAGS) of the stretches start:end of symbols, averaged over the windows of each character."""
     n = np.maximum(1, -(-(end - start - (WIDTH - STRIDE)) // STRIDE))
     which = np.repeat(np.arange(len(n)), n)
     turn = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     begin, stop = start[which] + STRIDE * turn, end[which]
-    total, weight = np.zeros((len(symbols) + 1, TAGS), np.float32), np.zeros(len(symbols) + 1, np.float32)
+    total = np.zeros((len(symbols), TAGS), np.float32)
     padded = np.append(symbols, 98)
-    for parity in (0, 1):  # windows of one parity don't overlap
-        some = np.flatnonzero(turn % 2 == parity)
-        for k in range(0, len(some), step):
-            part = some[k : k + step]
-            at = begin[part][:, None] + np.arange(WIDTH)[None]
-            at[at >= stop[part][:, None]] = len(symbols)
-            total[at] += tagger.emissions(padded[at]) * _MIDDLE[:, None]
-            weight[at] += _MIDDLE
-    total /= np.maximum(weight, np.float32(1e-9))[:, None]
-    return total[:-1]
-
-
-def model_spans(tagger: Tagger, cp: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 17) -> list[tuple[int, int, int]]:
+    # a window's first STRIDE places, and the rest, which the next window of the stretch has too
+    own, rest = np.empty((len(which), STRIDE, TAGS), np.float32), np.empty((len(which), WIDTH - STRIDE, TAGS), np.float32)
+    for k in range(0, len(which), step):
+        at = begin[k : k + step, None] + np.arange(WIDTH)
+        at[at >= stop[k : k + step, None]] = len(symbols)
+        e = tagger.emissions(padded[at]) * _MIDDLE[:, None]
+        own[k : k + step], rest[k : k + step] = e[:, :STRIDE], e[:, STRIDE:]
+    again, last = turn > 0, np.append(turn[1:] == 0, True)[: len(turn)]
+    own[again, : WIDTH - STRIDE] += rest[:-1][again[1:]]
+    weight = np.broadcast_to(_MIDDLE[:STRIDE], (len(which), STRIDE)).copy()
+    weight[again, : WIDTH - STRIDE] += _MIDDLE[STRIDE:]
+    own /= weight[:, :, None]
+    for places, scores in ((begin[:, None] + np.arange(STRIDE), own), (begin[last, None] + np.arange(STRIDE, WIDTH), rest[last] / _MIDDLE[STRIDE:, None])):
+        real = places < (stop if scores is own else stop[last])[:, None]
+        total[places[real]] = scores[real]
+    return total
+
+
+def model_spans(tagger: Tagger, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) that the model finds in the stretches start:end of code points."""
     scores = averaged(tagger, alphabet(cp), start, end)
     out: list[tuple[int, int, int]] = []
     if not len(scores):
         return out
-    on = tagger.may_leave(scores)
+    on = tagger.may_leave(scores, start)
     on[1:] |= on[:-1].copy()
     edge = np.zeros(len(on) + 1, bool)
     edge[start], edge[end] = True, True
@@ -467,28 +528,19 @@ def model_spans(tagger: Tagger, cp: np.ndarray, start: np.ndarray, end: np.ndarr
     a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     move = tagger.w["move"] + tagger.mask
     first = tagger.w["first"] + tagger.mask_first
-    order = np.argsort(b - a, kind="stable")
-    k = 0
-    while k < len(order):
-        some, most = [], 0
-        while k < len(order) and (not some or (len(some) + 1) * int(b[order[k]] - a[order[k]]) <= step):
-            some.append(order[k])
-            k += 1
-        some = np.array(some)
-        length = (b - a)[some]
-        most = int(length.max())
-        at = np.minimum(a[some][:, None] + np.arange(most)[None], len(scores) - 1)
-        # what lies beside a stretch is O, or the text's edge
-        begin = np.where(edge[a[some]][:, None], first, move[0])
-        final = np.where(edge[b[some]][:, None], 0.0, move[:, 0])
-        tags, chance = tagger.decode(scores[at].astype(float), length, begin, final)
-        starts = (tags % 2 == 1) & (np.arange(most)[None] < length[:, None])
-        for i, x in zip(*np.nonzero(starts)):
-            kind, y = int(tags[i, x]), int(x) + 1
-            while y < length[i] and tags[i, y] == kind + 1:
-                y += 1
-            if chance[i, x:y].mean() >= SURE:
-                out.append(((kind - 1) // 2, int(a[some[i]] + x), int(a[some[i]] + y)))
+    # what lies beside a stretch is O, or the text's edge
+    begin = np.where(edge[a][:, None], first, move[0])
+    final = np.where(edge[b][:, None], 0.0, move[:, 0])
+    row, place = packed(b - a)
+    at = a[row] + place
+    tags, chance = np.zeros(len(scores) + 1, np.int64), np.zeros(len(scores))
+    tags[at], chance[at] = tagger.decode_packed(scores[at].astype(float), row, place, begin, final)
+    for x in np.flatnonzero(tags % 2).tolist():  # no I stands at a text's start, so a span ends with it
+        kind, y = int(tags[x]), x + 1
+        while tags[y] == kind + 1:
+            y += 1
+        if chance[x:y].mean() >= SURE:
+            out.append(((kind - 1) // 2, x, y))
     return out
 
 
@@ -519,6 +571,26 @@ def trimmed(kind: int, text: str) -> tuple[int, int] | None:
     return (low, high) if 9 <= digits <= 15 or not digits and 7 <= words <= 15 else None
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS_OF_DIGITS = frozenset(x for some in _DIGIT_WORDS for x in some)
+_DIGIT = re.compile(r"[\d" + "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()) + "]")
+_LIKE_ASCII = re.compile("[\u0130\u0131\u017f\u212a]")  # equal to ASCII letters where case doesn't count, but not in lower case
+_AFTER_LOCAL = re.compile(r"(?:@|\[at\]|\(at\)|\sat\s)\s*[\w-]+\s*(?:\[dot\]|\(dot\)|\sdot\s|\.)\s*[\w-]", re.I)
+_FOUR_NUMBERS = re.compile(r"\d\s?\.\s?\d+\s?\.\s?\d+\s?\.\s?\d")
+
+
+def may_hold(text: str) -> bool:
+    """False only if trimmed() is None for every kind and every part of the text, so that no span of the model's could be reported.
+
+    Each form leaves a trace in the whole text: an e-mail's what follows its name, an address four numbers, a card and a phone
+    number nine digits, and one in words seven digit words, of which a part may cut two out of longer words.
+    """
+    digits = len(_DIGIT.findall(text))
+    if digits >= 9 or digits >= 4 and _FOUR_NUMBERS.search(text) or _AFTER_LOCAL.search(text) or _LIKE_ASCII.search(text):
+        return True
+    return sum(map(_WORDS_OF_DIGITS.__contains__, _LETTERS.findall(text.lower()))) >= 5
+
+
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
 
@@ -537,16 +609,19 @@ def scan_chunk(tagger: Tagger | None, raw: np.ndarray, off: np.ndarray) -> dict[
         if spans:
             found[r] = [(k, int(before[a + s] - before[a]), int(before[a + e] - before[a])) for k, s, e in spans]
     if tagger is not None:
-        text = raw.tobytes().decode("utf-8")
+        whole = raw.tobytes().decode("utf-8")
+        cut = before[off].tolist()
+        rows = [r for r in range(len(cut) - 1) if cut[r] < cut[r + 1] and may_hold(whole[cut[r] : cut[r + 1]])]
+        text = "".join(whole[cut[r] : cut[r + 1]] for r in rows)
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        edges = before[off]
+        edges = np.cumsum([0, *[cut[r + 1] - cut[r] for r in rows]])
         for core, low, high in _blocks(edges):
             for kind, a, b in model_spans(tagger, cp[low:high], *core[1]):
                 a, b = a + low, b + low
                 if not core[0][0] <= a < core[0][1] or (part := trimmed(kind, text[a:b])) is None:
                     continue
-                r = int(np.searchsorted(edges, a, "right") - 1)
-                s, e = int(a - edges[r]) + part[0], int(a - edges[r]) + part[1]
+                at = int(np.searchsorted(edges, a, "right") - 1)
+                r, s, e = rows[at], int(a - edges[at]) + part[0], int(a - edges[at]) + part[1]
                 if not any(x < e and s < y for _, x, y in found.get(r, [])):
                     found.setdefault(r, []).append((f"model_{BASE[kind]}", s, e))
     return found
