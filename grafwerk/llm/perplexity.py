@@ -148,10 +148,14 @@ def _discount(n: Column, d: list[Column]) -> Column:
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """key, logp, backoff: the model of (lang, text) rows. lang must not be null."""
+    """key, logp, backoff: the model of (lang, text) rows. lang must not be null.
+
+    Counts, contexts and probabilities of each order are written: unwritten, each is planned and computed again wherever it is
+    used, in plans whose size takes most of the driver's memory.
+    """
     counts = {ORDER: written(_counted(texts), "kn-counts")}
     for m in range(ORDER - 1, 0, -1):
-        counts[m] = counts[m + 1].groupBy("lang", F.substring("gram", 2, m).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts[m] = written(counts[m + 1].groupBy("lang", F.substring("gram", 2, m).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-counts")
     below: DataFrame | None = None
     rows: list[DataFrame] = []
     backoffs: list[DataFrame] = []
@@ -169,6 +173,7 @@ def train(texts: DataFrame) -> DataFrame:
         ds = [F.col("d1"), F.col("d2"), F.col("d3")]
         contexts = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("k1"), F.sum((F.col("n") == 2).cast("long")).alias("k2"), F.sum((F.col("n") > 2).cast("long")).alias("k3"))
         contexts = contexts.join(F.broadcast(d), "lang").withColumn("gamma", (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total"))  # d: one row per language
+        contexts = written(contexts, "kn-contexts")
         p = c.join(contexts, ["lang", "context"]).withColumn("own", F.greatest(F.col("n") - _discount(F.col("n"), ds), F.lit(0.0)) / F.col("total"))
         if below is None:
             alphabet = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
