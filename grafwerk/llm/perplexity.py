@@ -9,7 +9,8 @@ Scoring brings each task the part of the model that it needs. The rows of the do
 rows of a file. A first pass lists the distinct grams of each chunk; these keys and the model are joined, sharded by key;
 what is found is gathered by chunk and written as one slice per chunk to the shared folder; a second pass over the
 documents reads the slice of each chunk and looks up every position. No text is shuffled and no model broadcast; what is
-shuffled is the distinct grams of each chunk.
+shuffled is the distinct grams of each chunk. Both passes settle the grams that a chunk repeats by one look (Known): sorts
+and lookups are for the others.
 
 A document is rejected if its perplexity lies above the threshold of its language: the QUANTILE of the perplexities of
 those trusted documents that are held out of training (one in HELD_OUT, by hash), with ROOM and an allowance for short
@@ -18,7 +19,7 @@ texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ HELD_OUT = 4
 ROOM = 0.1  # nats a character
 SHORT = 2.5  # nats a character, divided by the square root of the characters
 MOST_BROADCAST = 2_000_000
+KNOWN_BITS = 20  # of the slots for grams met before; fewer slots make more work, never another result
 PAD = 2
 
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(ORDER + 1)]
@@ -68,19 +70,31 @@ def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, starts, row
 
 
-def grams(chars: np.ndarray) -> list[np.ndarray]:
-    """polynomials[m - 1][i]: of the m code points that end at i (wrong for i < m - 1)."""
+def grams(chars: np.ndarray, at: np.ndarray, most: int = ORDER) -> list[np.ndarray]:
+    """polynomials[m - 1]: of the m code points that end at each of at (m - 1 stand before each at least), for m up to most."""
+    value = lambda where: chars[where].astype(np.uint64) + np.uint64(1)
+    found = [value(at)]
+    for m in range(1, most):
+        found.append(found[-1] + value(at - m) * _POWERS[m])
+    return found
+
+
+def full_grams(chars: np.ndarray) -> np.ndarray:
+    """The polynomial of the ORDER code points that end at each position (wrong for the first ORDER - 1)."""
     c = chars.astype(np.uint64) + np.uint64(1)
-    found = [c]
+    out = c.copy()
     for m in range(1, ORDER):
-        g = found[-1].copy()
-        g[m:] += c[:-m] * _POWERS[m]
-        found.append(g)
-    return found
+        out[m:] += c[:-m] * _POWERS[m]
+    return out
+
+
+def unmixed(polynomial: np.ndarray, m: int, lang: np.ndarray | np.uint64) -> np.ndarray:
+    """A gram's key before it is mixed: as distinct, in fewer steps."""
+    return polynomial * np.uint64(0xD6E8FEB86659FD93) + np.uint64(m) ^ lang
 
 
 def keyed(polynomial: np.ndarray, m: int, lang: np.ndarray | np.uint64) -> np.ndarray:
-    return mix(polynomial * np.uint64(0xD6E8FEB86659FD93) + np.uint64(m) ^ lang)
+    return mix(unmixed(polynomial, m, lang))
 
 
 def keys_of_strings(values: list[str], langs: list[str | None]) -> np.ndarray:
@@ -120,14 +134,14 @@ def _counted(texts: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for first, end, raw, off in text_chunks(batch.column(1), CHUNK_BYTES):
-                polynomials, at, row = _positions(raw, off)
+                chars, at, row = _positions(raw, off)
                 if not len(at):
                     continue
-                chars, _, _ = characters(raw, off)
+                full = full_grams(chars)
                 of = langs[first:end]
                 for lang in dict.fromkeys(of.tolist()):
                     mine = at[(of == lang)[row]]
-                    key, one, n = np.unique(polynomials[-1][mine], return_index=True, return_counts=True)
+                    key, one, n = np.unique(full[mine], return_index=True, return_counts=True)
                     mine = mine[one]
                     windows = np.stack([chars[mine - ORDER + 1 + k] for k in range(ORDER)], axis=1)
                     parts = held.setdefault(lang, [])
@@ -230,20 +244,55 @@ class Table:
         return row
 
 
+class Known:
+    """Grams met before, by their unmixed keys: the latest of each slot, by direct address. A gram that another one has pushed out is new again.
+
+    Text repeats its grams: most positions are settled here by one look, without a sort or a search.
+    """
+
+    def __init__(self, valued: bool = False) -> None:
+        self.bits = np.uint64(64 - KNOWN_BITS)
+        slots = np.arange(1 << KNOWN_BITS, dtype=np.uint64)
+        self.key = (slots ^ np.uint64(1)) << self.bits  # empty: a key of another slot
+        self.value = np.zeros(1 << KNOWN_BITS if valued else 0)
+
+    def new(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the distinct keys that aren't known, a position of each); from now on they are."""
+        fresh = np.flatnonzero(self.key[keys >> self.bits] != keys)
+        distinct, one = np.unique(keys[fresh], return_index=True)
+        self.key[distinct >> self.bits] = distinct
+        return distinct, fresh[one]
+
+    def values(self, keys: np.ndarray, find: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each key; find has those that aren't known, from a position of each."""
+        slot = keys >> self.bits
+        out = self.value[slot]
+        fresh = np.flatnonzero(self.key[slot] != keys)
+        distinct, one, inverse = np.unique(keys[fresh], return_index=True, return_inverse=True)
+        found = find(fresh[one])
+        out[fresh] = found[inverse]
+        slot = distinct >> self.bits
+        self.key[slot] = distinct
+        stays = self.key[slot] == distinct
+        self.value[slot[stays]] = found[stays]
+        return out
+
+
 class Slice:
     """The part of the model that a chunk needs."""
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
         self.table, self.logp, self.backoff = Table(keys), logp, np.nan_to_num(backoff, nan=0.0)
+        self.known = Known(valued=True)
 
-    def logs(self, polynomials: list[np.ndarray], at: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    def logs(self, chars: np.ndarray, at: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """ln P of the character at each position, by the longest gram that the model has; NaN without a model."""
         out = np.full(len(at), np.nan)
         weight = np.zeros(len(at))
         left = np.arange(len(at))
+        ends, contexts = grams(chars, at), grams(chars, at - 1, ORDER - 1)
         for m in range(ORDER, -1, -1):
-            where = at[left]
-            key = keyed(polynomials[m - 1][where] if m else np.zeros(len(where), np.uint64), m, lang[left])
+            key = keyed(ends[m - 1][left] if m else np.zeros(len(left), np.uint64), m, lang[left])
             row = self.table.find(key)
             p = np.where(row >= 0, self.logp[row], np.nan) if self.table.size else np.full(len(row), np.nan)
             hit = ~np.isnan(p)
@@ -252,11 +301,14 @@ class Slice:
             if not len(left) or not m:
                 break
             if m > 1:
-                where = at[left]
-                row = self.table.find(keyed(polynomials[m - 2][where - 1], m - 1, lang[left]))
+                row = self.table.find(keyed(contexts[m - 2][left], m - 1, lang[left]))
                 weight[left] += np.where(row >= 0, self.backoff[row], 0.0) if self.table.size else 0.0
         return out
 
+    def text_logs(self, chars: np.ndarray, at: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """logs of running text: it depends on the full gram and the language alone, so each distinct one is looked up once while it is known."""
+        return self.known.values(unmixed(full_grams(chars)[at], ORDER, lang), lambda one: self.logs(chars, at[one], lang[one]))
+
 
 def _chunked(documents: DataFrame, key: str | None = None) -> DataFrame:
     """key (null without a column of that name), doc_id, lang, text, chunk.
@@ -288,14 +340,14 @@ def _languages(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([known[x] for x in values], np.uint64)
 
 
-def _positions(raw: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(polynomials, positions of real characters, row of each)."""
+def _positions(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, positions of real ones, row of each)."""
     chars, starts, row = characters(raw, off)
     real = np.ones(len(chars), bool)
     for k in range(ORDER - 1):
         real[starts[:-1] + k] = False
     at = np.flatnonzero(real)
-    return grams(chars), at, row[at]
+    return chars, at, row[at]
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,25 +358,23 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, parts = None, []
     for batch in batches:
         for chunk, run in _runs(batch):
-            if chunk != now and parts:
-                yield out(now, parts)
-                parts = []
+            if chunk != now:
+                if parts:
+                    yield out(now, parts)
+                parts, full, shorter = [], Known(), Known()
             now = chunk
             lang = _languages(run)
             for first, end, raw, off in text_chunks(run.column("text"), CHUNK_BYTES):
-                polynomials, at, row = _positions(raw, off)
+                chars, at, row = _positions(raw, off)
                 of = lang[first:end][row]
-                langs = np.unique(of)
-                mine = [keyed(np.zeros(len(langs), np.uint64), 0, langs)]
-                full = keyed(polynomials[-1][at], ORDER, of)
-                full, one = np.unique(full, return_index=True)
-                mine.append(full)
+                parts.append(keyed(np.uint64(0), 0, np.unique(lang[first:end])))
+                new, one = full.new(unmixed(full_grams(chars)[at], ORDER, of))
+                parts.append(mix(new))
                 at, of = at[one], of[one]
-                for m in range(1, ORDER):  # the ends of the distinct full grams, and their contexts
-                    mine.append(np.unique(keyed(polynomials[m - 1][at], m, of)))
-                    mine.append(np.unique(keyed(polynomials[m - 1][at - 1], m, of)))
-                parts.append(np.unique(np.concatenate(mine)))
-                if len(parts) > 8:
+                for polynomials in (grams(chars, at, ORDER - 1), grams(chars, at - 1, ORDER - 1)):  # the ends of the distinct full grams, and their contexts
+                    for m, polynomial in enumerate(polynomials, 1):
+                        parts.append(mix(shorter.new(unmixed(polynomial, m, of))[0]))
+                if sum(map(len, parts)) > max(1 << 20, 2 * len(parts[0])):  # grams that were pushed out come again
                     parts = [np.unique(np.concatenate(parts))]
     if parts:
         yield out(now, parts)
@@ -380,8 +430,8 @@ def score(documents: DataFrame, model: DataFrame, key: str | None = None) -> Dat
                 lang = _languages(some)
                 for first, end, raw, off in text_chunks(some.column("text"), CHUNK_BYTES):
                     n = end - first
-                    polynomials, at, row = _positions(raw, off)
-                    logs = part.logs(polynomials, at, lang[first:end][row])
+                    chars, at, row = _positions(raw, off)
+                    logs = part.text_logs(chars, at, lang[first:end][row])
                     count = np.bincount(row, minlength=n)
                     with np.errstate(invalid="ignore", divide="ignore"):
                         mean = np.bincount(row, logs, n) / count
