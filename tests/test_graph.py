@@ -76,6 +76,43 @@ def test_resolution_caps_and_fans_out(spark):
     assert got == [("0", "s1", 1), ("1", "s2", 0), ("1", "s3", 0), ("2", "s3", 1), ("4", "s2", 1)]
 
 
+REFS = "ref_id string, kind string, dst_name string, path string, language string"
+SYMBOLS = "symbol_id string, kind string, name string, fqn string, path string, language string"
+
+
+def test_each_row_of_an_id_has_its_candidates(spark):
+    refs = spark.createDataFrame([("r", "calls", "one", "a", "python"), ("r", "calls", "one", "b", "python")], REFS)
+    symbols = spark.createDataFrame([("s1", "function", "one", "k.one", "b", "python"), ("s2", "function", "one", "k.one", "a", "python")], SYMBOLS)
+    got = sorted((r.ref_id, r.symbol_id, r.same_file) for r in resolve.candidates(refs, symbols).collect())
+    assert got == [("r", "s1", False), ("r", "s1", True)]
+
+
+NAMES = ["foo", "a.foo", "b.a.foo", ".foo", "a.", "x.a.foo", "foo.a", "a"]
+fqns = st.one_of(st.none(), st.sampled_from([*NAMES, "a..foo", "xa.foo"]))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from(["calls", "inherits", "references", "imports", None]), st.sampled_from([*NAMES, "", "*"]), st.sampled_from(["p", "q"]), st.sampled_from(["python", "java", None])), min_size=20, max_size=40),
+    st.lists(st.tuples(st.sampled_from(["function", "class", "css_class", "key", None]), st.sampled_from(["foo", "a", "", "a.foo", None]), fqns, st.sampled_from(["p", "q"]), st.sampled_from(["python", "java", None])), min_size=20, max_size=40),
+)
+def test_candidates_against_brute_force(spark, refs, symbols):
+    want = []
+    for i, (kind, wanted, path, language) in enumerate(refs):
+        best = {}
+        for k, (s_kind, name, fqn, s_path, s_language) in enumerate(symbols):
+            dotted = "." in wanted
+            kinds = {"calls": ("function", "method", "class"), "inherits": ("class", "interface", "struct", "module"), "references": ("css_class", "html_id")}.get(kind)
+            fits = (s_kind in kinds if kinds else dotted) and (kind not in ("calls", "inherits") or language is not None and s_language == language)
+            fits = fits and name == wanted.rpartition(".")[2] and (not dotted or fqn is not None and (fqn == wanted or fqn.endswith("." + wanted)))
+            if fits and wanted and "*" not in wanted:
+                best.setdefault(fqn, (f"{k:02}", s_path == path))
+        want += [(f"r{i}", *x) for x in best.values()]
+    r = spark.createDataFrame([(f"r{i}", *x) for i, x in enumerate(refs)], REFS)
+    s = spark.createDataFrame([(f"{k:02}", *x) for k, x in enumerate(symbols)], SYMBOLS)
+    assert sorted((x.ref_id, x.symbol_id, x.same_file) for x in resolve.candidates(r, s).collect()) == sorted(want)
+
+
 def test_promotion_and_invalidation(spark):
     e = edges(spark, [("a", "x", 0), ("a", "y", 0)]).withColumn("line", __import__("pyspark").sql.functions.lit(1).cast("long")).withColumn("dst_name", __import__("pyspark").sql.functions.lit("n"))
     sure = resolve.promote(e, spark.createDataFrame([("f.py", 1, 0, "x")], "path string, line long, col int, dst string"))
