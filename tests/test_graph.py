@@ -76,6 +76,60 @@ def test_resolution_caps_and_fans_out(spark):
     assert got == [("0", "s1", 1), ("1", "s2", 0), ("1", "s3", 0), ("2", "s3", 1), ("4", "s2", 1)]
 
 
+def louvain_by_sweeps(pairs):
+    """Louvain that looks at every vertex in every sweep."""
+    names = sorted({x for p in pairs for x in p[:2]})
+    member, edges = {v: v for v in names}, [(a, b, w) for a, b, w in pairs]
+    while edges:
+        nodes = sorted({x for p in edges for x in p[:2]})
+        around = {v: {} for v in nodes}
+        degree = dict.fromkeys(nodes, 0.0)
+        for a, b, w in edges:
+            degree[a] += w
+            degree[b] += w
+            if a != b:
+                around[a][b] = around[a].get(b, 0.0) + w
+                around[b][a] = around[b].get(a, 0.0) + w
+        home, total, twice, moved = {v: v for v in nodes}, dict(degree), sum(degree.values()), True
+        while moved:
+            moved = False
+            for v in nodes:
+                near = {}
+                for u, w in around[v].items():
+                    near[home[u]] = near.get(home[u], 0.0) + w
+                old, best, gain = home[v], home[v], analytics.LEAST_GAIN
+                total[old] -= degree[v]
+                for c in sorted(near):
+                    more = near[c] - near.get(old, 0.0) - degree[v] * (total[c] - total[old]) / twice
+                    if c != old and more > gain:
+                        best, gain = c, more
+                home[v] = best
+                total[best] += degree[v]
+                moved |= best != old
+        if len(set(home.values())) == len(nodes):
+            break
+        member = {v: home[m] for v, m in member.items()}
+        edges = [(home[a], home[b], w) for a, b, w in edges]
+    order = {}
+    return {v: order.setdefault(member[v], len(order)) for v in names}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 40), st.integers(1, 120), st.randoms(use_true_random=False))
+def test_vertices_passed_over_would_not_have_moved(n, m, r):
+    pairs = [(f"v{r.randrange(n):02}", f"v{min(r.randrange(n), r.randrange(n)):02}", float(r.choice([1, 1, 1, 2, 5]))) for _ in range(m)]
+    assert analytics.louvain_of(pairs) == louvain_by_sweeps(pairs)
+
+
+def test_contracted_graphs_keep_every_vertex(spark, monkeypatch):
+    """Also those of a part that became one label, and has no pair left."""
+    monkeypatch.setattr(analytics, "MOST_PAIRS", 3)
+    pairs = [("a", "b", 5), ("x", "y", 5), ("y", "z", 1), ("z", "w", 5), ("w", "u", 1), ("u", "t", 5)]
+    got = {r.id: r.community for r in analytics.communities(spark.createDataFrame(pairs, "a string, b string, weight long")).collect()}
+    assert sorted(got) == sorted("abtuwxyz")
+    assert got["a"] == got["b"] and got["a"] not in {got[v] for v in "tuwxyz"}
+
+
 REFS = "ref_id string, kind string, dst_name string, path string, language string"
 SYMBOLS = "symbol_id string, kind string, name string, fqn string, path string, language string"
 
